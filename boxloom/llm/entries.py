@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import quality
+from boxloom.llm import mixing, packing, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -21,8 +21,27 @@ def quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_row.doc_id").alias("doc_id"), *[c for c in out.columns if c != "_row"])
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def packing_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer())
+
+
+def mixing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return out.select(F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_ngram_llr": quality_llr}
+    return {
+        "op5_hierarchical_packing": packing_tiers,
+        "op9_subset_sum_mixing": mixing_budget,
+        "op10_ngram_llr": quality_llr,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
