@@ -107,7 +107,7 @@ def _classes(limit: int):
 def plan(docs: DataFrame, *, seed: int = SEED, limit: int = FIT) -> tuple[DataFrame, DataFrame]:
     """(sources, classes) for docs with _id, _source and _size.
 
-    sources: _source, sid, source_size, target, passes. classes: sid, _size and the last hash
+    sources: _src, sid, source_size, target, passes. classes: sid, _size and the last hash
     and id that are taken once more.
     """
     spark = docs.sparkSession
@@ -121,8 +121,8 @@ def plan(docs: DataFrame, *, seed: int = SEED, limit: int = FIT) -> tuple[DataFr
     for i, (r, s, t) in enumerate(zip(rows, sizes, want)):
         passes = min(MOST, int(t // s)) if s else 0
         table.append((r._source, i, s, t, passes, round(t) - passes * s if passes < MOST else 0))
-    sources = spark.createDataFrame(table, "_source string, sid int, source_size long, target double, passes int, budget long")
-    known = docs.join(F.broadcast(sources), F.col("_source").eqNullSafe(sources._source), "inner").drop("_source")
+    sources = spark.createDataFrame(table, "_src string, sid int, source_size long, target double, passes int, budget long")
+    known = docs.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("_src"))).drop("_source", "_src")
     known = known.where((F.col("_size") > 0) & (F.col("budget") > 0)).withColumn("hash", F.xxhash64("_id", F.lit(seed)))
     known = known.withColumn("slice", F.shiftrightunsigned("hash", 64 - SLICE_BITS).cast("int"))
     slices = known.groupBy("sid", F.col("_size").alias("size"), "budget", "slice").agg(F.count(F.lit(1)).alias("n"))
@@ -159,7 +159,7 @@ def mix(
     classes = scratch.keep(classes, "classes")
     small = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     scratch.drop("digest")
-    out = base.join(F.broadcast(sources), F.col("_source").eqNullSafe(sources._source), "left").drop(sources._source)
+    out = base.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("_src")), "left").drop("_src")
     out = out.join(F.broadcast(classes) if small else classes, ["sid", "_size"], "left")
     hashed = F.xxhash64("_id", F.lit(seed))
     part = F.shiftrightunsigned(hashed, 64 - SLICE_BITS).cast("int")
