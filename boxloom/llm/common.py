@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a kernel works on at a time; one longer text makes one longer block.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _U = np.uint64
 
 
@@ -30,6 +31,12 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the driver notice which shuffles nothing refers to, so that executors delete their files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage; ``drop`` removes those no longer read."""
 
@@ -38,9 +45,10 @@ class Scratch:
         self.base = f"{scratch_root(spark)}/boxloom-{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
+        path, schema = f"{self.base}/{name}", df.schema
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        free_shuffles(self.spark)
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -163,3 +171,8 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
         for i in range(1, n):
             h = mix(h * _U(3) + words[i : len(words) - n + 1 + i])
     return h
+
+
+def small_enough(df: DataFrame, rows: int) -> bool:
+    """Whether a table may be broadcast: counted, never guessed."""
+    return df.limit(rows + 1).count() <= rows
