@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import mixing, packing, quality
+from boxloom.llm import mixing, near, packing, quality, repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -31,6 +31,24 @@ def packing_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer())
 
 
+def hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    left = F.length("kept").cast("long")
+    cut = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select(
+        F.col("_row.doc_id").alias("doc_id"),
+        (left + cut).alias("n_bytes"),
+        cut.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def mixing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_read(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return out.select(F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
@@ -39,6 +57,8 @@ def mixing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_hierarchical_packing": packing_tiers,
+        "op6_hyperminhash": hyperminhash,
+        "op7_prefix_free_parsing": prefix_free,
         "op9_subset_sum_mixing": mixing_budget,
         "op10_ngram_llr": quality_llr,
     }
