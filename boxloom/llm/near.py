@@ -9,8 +9,9 @@ Bands of 6 registers bring documents together: two sets at similarity 0.85 miss
 bands with a chance of about 2e-9. Inside a band:
 
 1. Documents with equal sets are one class; only its smallest id goes on.
-2. Every class is checked against the smallest class it meets in any band, and the
-   verified links are contracted to components.
+2. In each of a few rounds a band names one of its classes, by a hash, as its centre. Every
+   class is checked against the centre it shares most bands with, the verified links are
+   contracted to components, and bands that lie in one component are done with.
 3. Bands that still hold several components compare all their pairs across components in
    blocks of registers, on the collision-corrected estimate alone, and pass on those that
    may reach the threshold. No pair inside a component is ever formed.
@@ -37,8 +38,10 @@ from boxloom.llm.components import components
 
 REGISTERS, MANTISSA, ROWS = 256, 10, 6
 BANDS = REGISTERS // ROWS
-#: How far below the threshold an estimate may lie: over six standard errors of 256 registers.
-SLACK = 0.15
+#: How far below the threshold an estimate may lie: over five standard errors of 256 registers.
+SLACK = 0.12
+#: Rounds of checks against centres; what they leave is compared in full.
+ROUNDS = 4
 #: Members of a band that meet in one block.
 BLOCK = 1500
 #: Ids up to this number are broadcast (8 bytes each); beyond, the join shuffles.
@@ -205,27 +208,41 @@ def near_duplicates(
     classes = scratch.keep(classes, "classes")
     bands = scratch.keep(classes.select("id", "regs").mapInArrow(_bands, "key long, id long"), "bands")
 
-    stars = bands.groupBy("key").agg(F.min("id").alias("star"), F.max("id").alias("last")).where("star < last")
-    met = bands.join(stars.select("key", "star"), "key").where("id <> star")
-    first = met.groupBy("id").agg(F.min("star").alias("star")).select(F.col("star").alias("a"), F.col("id").alias("b"))
-    first = scratch.keep(first, "first")
-    links = _verified(docs, first, shingle, percent, scratch, "first")
-    comp = components(links, scratch, "one")
-
-    where = bands.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    where = scratch.keep(where, "where")
-    mixed = where.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("c < d").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("key", "blocks")
-    left = where.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    live, comp, links, tested = bands, None, None, None
+    for turn in range(ROUNDS + 1):
+        where = live.select("key", "id")
+        where = where.join(comp, "id", "left") if comp is not None else where.withColumn("comp", F.lit(None).cast("long"))
+        where = where.select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        mixed = where.groupBy("key").agg(
+            F.min("comp").alias("c"),
+            F.max("comp").alias("d"),
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "comp")).alias("centre"),
+        )
+        live = scratch.keep(where.join(mixed.where("c < d").select("key", "n", "centre"), "key"), f"live-{turn}")
+        scratch.drop("bands" if turn == 0 else f"live-{turn - 1}")
+        if turn == ROUNDS:
+            break
+        met = live.where(F.col("comp") != F.col("centre.comp")).groupBy("id", F.col("centre.id").alias("to"))
+        best = met.agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max(F.struct("n", -F.col("to"), "to")).alias("best"))
+        pairs = best.select(F.least("id", "best.to").alias("a"), F.greatest("id", "best.to").alias("b")).distinct()
+        pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, f"pairs-{turn}")
+        found = _verified(docs, pairs, shingle, percent, scratch, f"round-{turn}")
+        tested = pairs if tested is None else tested.union(pairs)
+        links = found if links is None else links.union(found)
+        comp = components(links, scratch, f"comp-{turn}")
+
+    where = live.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    left = where.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.join(classes.select("id", "regs"), "id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = left.withColumn("other", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
     groups = left.select("key", "left", "right", "block", "id", "comp", "regs").groupBy("key", "left", "right")
     more = groups.applyInArrow(_compare(percent / 100 - SLACK), "a long, b long").distinct()
-    more = scratch.keep(more.join(first, ["a", "b"], "left_anti"), "more")
-    scratch.drop("bands", "where", "first")
+    more = scratch.keep(more.join(tested, ["a", "b"], "left_anti"), "more")
+    scratch.drop(f"live-{ROUNDS}")
     links = scratch.keep(links.union(_verified(docs, more, shingle, percent, scratch, "more")), "links")
-    comp = components(links, scratch, "two")
+    comp = components(links, scratch, "comp")
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
 
     classes = classes.select("h1", "h2", "n_shingles", F.col("id").alias("class_id"))

@@ -34,9 +34,11 @@ from boxloom.llm.common import Scratch, blocks, prefix_sums, range_hashes, small
 
 LENGTH, TRIGGER = 50, 24
 #: Bytes of text whose phrases form one dictionary before the shuffle.
-UNIT_BYTES = 16 << 20
+UNIT_BYTES = 8 << 20
 #: Bytes of text for each part of the trigger space.
 PART_BYTES = 16 << 20
+#: Bytes of text for each part of the dictionaries: each holds up to a suffix a byte.
+SUFFIX_BYTES = 2 << 20
 MAX_PARTS = 65536
 #: Ids of exact copies up to this number are broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -235,13 +237,17 @@ def suffix_order(text: np.ndarray, start: np.ndarray, doc: np.ndarray, length: i
     """(order, new): starts sorted by their ``length`` bytes, then by document; where other bytes begin."""
     words = -(-length // 8)
     padded = np.r_[text, np.zeros(8 * words, np.uint8)]
-    index = start[:, None] + np.arange(8 * words)
-    cells = padded[index]
-    cells[:, length:] = 0
-    keys = cells.view(">u8").astype(np.uint64)
-    order = np.lexsort((doc, *(keys[:, i] for i in reversed(range(words)))))
-    keys = keys[order]
-    return order, np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)] if len(start) else np.zeros(0, bool)
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(">u8").ravel().astype(np.uint64)
+    keys = [eight[start + 8 * i] for i in range(words)]
+    keys[-1] &= ~_U((1 << 8 * (8 * words - length)) - 1)
+    del eight
+    order = np.lexsort((doc, *reversed(keys)))
+    new = np.zeros(len(start), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, new
 
 
 def _repeated(table: pa.Table) -> pa.Table:
@@ -314,7 +320,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     long = plain.where((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull())
     sums = long.select("doc_id", F.sha2("text", 256).alias("sum"), F.octet_length("text").alias("n"))
     sums = scratch.keep(sums, "sums")
-    parts = min(MAX_PARTS, max(8, (sums.agg(F.sum("n")).first()[0] or 0) // PART_BYTES))
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    parts, finer = (min(MAX_PARTS, max(8, total // x)) for x in (PART_BYTES, SUFFIX_BYTES))
     same = sums.groupBy("sum").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     copies = sums.join(same, "sum").where("doc_id > least").select("doc_id").distinct()
     copies = scratch.keep(copies, "copies")
@@ -325,7 +332,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     marks = _down(up, _shared, scratch, "marks")
     scratch.drop("triggers", "sums")
     marked = once.join(marks, "doc_id").select("doc_id", "text", "places")
-    up = scratch.keep(marked.mapInArrow(_dictionary(parts, UNIT_BYTES), _UP), "dictionary")
+    up = scratch.keep(marked.mapInArrow(_dictionary(finer, UNIT_BYTES), _UP), "dictionary")
     cuts = _down(up, _repeated, scratch, "cuts")
     scratch.drop("dictionary", "marks")
 
