@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import mixing, near, packing, quality, repeats
+from boxloom.llm import licenses, media, mixing, near, packing, quality, repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -21,6 +21,16 @@ def quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_row.doc_id").alias("doc_id"), *[c for c in out.columns if c != "_row"])
 
 
+def license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.license_scan(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.withColumnRenamed("id", "doc_id").withColumn("spans", F.to_json("spans"))
+
+
+def progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return media.describe(stored).withColumnRenamed("id", "doc_id")
+
+
 def tokenizer() -> str:
     import public_tokenizers
 
@@ -56,6 +66,8 @@ def mixing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_license_diagonals": license_diagonals,
+        "op8_progressive_jpeg": progressive_jpeg,
         "op5_hierarchical_packing": packing_tiers,
         "op6_hyperminhash": hyperminhash,
         "op7_prefix_free_parsing": prefix_free,

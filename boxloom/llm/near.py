@@ -221,7 +221,7 @@ def near_duplicates(
         )
         live = scratch.keep(where.join(mixed.where("c < d").select("key", "n", "centre"), "key"), f"live-{turn}")
         scratch.drop("bands" if turn == 0 else f"live-{turn - 1}")
-        if turn == ROUNDS:
+        if turn == ROUNDS or not live.limit(1).count():
             break
         met = live.where(F.col("comp") != F.col("centre.comp")).groupBy("id", F.col("centre.id").alias("to"))
         best = met.agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max(F.struct("n", -F.col("to"), "to")).alias("best"))
@@ -232,6 +232,8 @@ def near_duplicates(
         links = found if links is None else links.union(found)
         comp = components(links, scratch, f"comp-{turn}")
 
+    if tested is None:
+        tested = links = live.select(F.col("id").alias("a"), F.col("id").alias("b"))
     where = live.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     left = where.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.join(classes.select("id", "regs"), "id")
@@ -240,7 +242,7 @@ def near_duplicates(
     groups = left.select("key", "left", "right", "block", "id", "comp", "regs").groupBy("key", "left", "right")
     more = groups.applyInArrow(_compare(percent / 100 - SLACK), "a long, b long").distinct()
     more = scratch.keep(more.join(tested, ["a", "b"], "left_anti"), "more")
-    scratch.drop(f"live-{ROUNDS}")
+    scratch.drop(f"live-{turn}")
     links = scratch.keep(links.union(_verified(docs, more, shingle, percent, scratch, "more")), "links")
     comp = components(links, scratch, "comp")
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))

@@ -51,9 +51,8 @@ def test_against_brute_force(spark, monkeypatch):
     rows = corpus()
     want = brute(rows)
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, key string").repartition(3)
-    got = {r.id: (r.n_shingles, r.component_id) for r in near.near_duplicates(docs).collect()}
-    assert got == want
     monkeypatch.setattr(near, "BLOCK", 2)
+    monkeypatch.setattr(near, "ROUNDS", 1)
     monkeypatch.setattr(near, "BROADCAST_IDS", 0)
     got = {r.id: (r.n_shingles, r.component_id) for r in near.near_duplicates(docs).collect()}
     assert got == want
