@@ -17,7 +17,10 @@ from boxloom.llm.common import Scratch, small_enough
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     good = quality.trusted_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.quality_rules(docs, good).where("kept").select("_row.*")
+    out = quality.quality_rules(docs, good)
+    # a filter on "kept" would be pushed down and copy the measures' expressions over and over
+    rows = out.select(F.explode_outer(F.when(F.col("kept"), F.array("_row"))).alias("_row"))
+    return rows.where(F.col("_row").isNotNull()).select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
