@@ -44,10 +44,11 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/boxloom-{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
         path, schema = f"{self.base}/{name}", df.schema
         df.write.mode("overwrite").parquet(path)
-        free_shuffles(self.spark)
+        if free:
+            free_shuffles(self.spark)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:

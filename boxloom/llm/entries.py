@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import licenses, media, mixing, near, packing, quality, repeats
+from boxloom.llm import chains, licenses, media, mixing, near, packing, pages, quality, repeats, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -31,6 +31,21 @@ def progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(stored).withColumnRenamed("id", "doc_id")
 
 
+def site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(_read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    out = toxicity.classify(docs, _read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chains.fuzzy_passages(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.withColumnRenamed("id", "doc_id").withColumn("passages", F.to_json("passages"))
+
+
 def tokenizer() -> str:
     import public_tokenizers
 
@@ -67,6 +82,9 @@ def mixing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_license_diagonals": license_diagonals,
+        "op1_collinear_chains": collinear_chains,
+        "op3_site_style_tree": site_style_tree,
+        "op4_classifier_chain": classifier_chain,
         "op8_progressive_jpeg": progressive_jpeg,
         "op5_hierarchical_packing": packing_tiers,
         "op6_hyperminhash": hyperminhash,

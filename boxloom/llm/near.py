@@ -41,7 +41,7 @@ BANDS = REGISTERS // ROWS
 #: How far below the threshold an estimate may lie: over five standard errors of 256 registers.
 SLACK = 0.12
 #: Rounds of checks against centres; what they leave is compared in full.
-ROUNDS = 4
+ROUNDS = 3
 #: Members of a band that meet in one block.
 BLOCK = 1500
 #: Ids up to this number are broadcast (8 bytes each); beyond, the join shuffles.
@@ -183,7 +183,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, scratch:
     sets = scratch.keep(texts.mapInArrow(_sets(n), "id long, set binary").dropDuplicates(["id"]), f"{name}-sets")
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    links = scratch.keep(both.mapInArrow(_confirm(percent), "a long, b long"), f"{name}-links")
+    links = scratch.keep(both.mapInArrow(_confirm(percent), "a long, b long"), f"{name}-links", free=True)
     scratch.drop(f"{name}-ids", f"{name}-sets")
     return links
 
@@ -219,7 +219,7 @@ def near_duplicates(
             F.count(F.lit(1)).alias("n"),
             F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "comp")).alias("centre"),
         )
-        live = scratch.keep(where.join(mixed.where("c < d").select("key", "n", "centre"), "key"), f"live-{turn}")
+        live = scratch.keep(where.join(mixed.where("c < d").select("key", "n", "centre"), "key"), f"live-{turn}", free=turn == 0)
         scratch.drop("bands" if turn == 0 else f"live-{turn - 1}")
         if turn == ROUNDS or not live.limit(1).count():
             break

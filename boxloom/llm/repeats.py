@@ -308,7 +308,7 @@ def _down(up: DataFrame, reduce, scratch: Scratch, name: str) -> DataFrame:
     told = up.where("part is null").select("doc_id", F.col("a").alias("places"))
     answers = up.where("part is not null").select("part", "a", "b", "c").groupBy("part").applyInArrow(reduce, _DOWN)
     both = told.union(answers).groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    return scratch.keep(both, name)
+    return scratch.keep(both, name, free=True)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,7 +332,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     marks = _down(up, _shared, scratch, "marks")
     scratch.drop("triggers", "sums")
     marked = once.join(marks, "doc_id").select("doc_id", "text", "places")
-    up = scratch.keep(marked.mapInArrow(_dictionary(finer, UNIT_BYTES), _UP), "dictionary")
+    up = scratch.keep(marked.mapInArrow(_dictionary(finer, UNIT_BYTES), _UP), "dictionary", free=True)
     cuts = _down(up, _repeated, scratch, "cuts")
     scratch.drop("dictionary", "marks")
 
