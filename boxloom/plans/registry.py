@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+from boxloom.plans import catalog
 
 
 def queries() -> dict[str, Callable]:
-    return dict(QUERIES)
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(catalog.SQL)
