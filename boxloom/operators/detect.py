@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,23 +94,53 @@ def _iou(a, b) -> float:
     return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
 
 
+def _each_group(df: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
+    """f(key, rows) for every group, streamed over sorted partitions: no frame is built for a group."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        held, key, out = [], None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in keys)
+                if held and own != key:
+                    out += f(key, held)
+                    held = []
+                key = own
+                held.append(row)
+            if out:
+                yield _batch(out, names, schema)
+                out = []
+        if held and (out := f(key, held)):
+            yield _batch(out, names, schema)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+_KINDS = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _batch(rows: list[tuple], names: list[str], schema: str) -> pa.RecordBatch:
+    kinds = [_KINDS[c.split()[1]] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
 def fuse(pred: DataFrame, *, iou: float = 0.55, skip: float = 0.05, weights: dict[str, float] | None = None, least: float = 0.05) -> DataFrame:
     """Weighted box fusion of an image's boxes of one class over several models (arXiv 1910.13302)."""
     weights = weights or {"s": 1.0, "m": 1.0}
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(weighted=rows["score"] * rows["model"].map(weights)).sort_values(["weighted", "model", "det_idx"], ascending=[False, True, True])
+    def fused(key, rows):
         clusters: list[dict] = []
-        for r in rows.itertuples():
-            box = (r.x1, r.y1, r.x2, r.y2)
+        for r in sorted(rows, key=lambda r: (-r["score"] * weights[r["model"]], r["model"], r["det_idx"])):
+            box, score = tuple(r[c] for c in XYXY), r["score"] * weights[r["model"]]
             best, at = max(((_iou(c["box"], box), -i) for i, c in enumerate(clusters)), default=(0.0, 0))
             if best <= iou:
-                clusters.append({"box": box, "sum": [v * r.weighted for v in box], "scores": [r.weighted]})
+                clusters.append({"box": box, "sum": [v * score for v in box], "scores": [score]})
                 continue
             c = clusters[-at]
-            c["sum"] = [s + v * r.weighted for s, v in zip(c["sum"], box)]
-            c["scores"].append(r.weighted)
-            c["box"] = tuple(s / sum(c["scores"]) for s in c["sum"])
+            c["sum"] = [t + v * score for t, v in zip(c["sum"], box)]
+            c["scores"].append(score)
+            c["box"] = tuple(t / sum(c["scores"]) for t in c["sum"])
         out = []
         for c in clusters:
             n = len(c["scores"])
@@ -118,28 +148,30 @@ def fuse(pred: DataFrame, *, iou: float = 0.55, skip: float = 0.05, weights: dic
             if score >= least:
                 out.append((*c["box"], score))
         out.sort(key=lambda b: (-b[4], b))
-        first = rows.iloc[0]
-        return pd.DataFrame([(first.image_id, first.class_id, i, *b) for i, b in enumerate(out)], columns=["image_id", "class_id", "det_idx", *XYXY, "score"])
+        return [(*key, i, *b) for i, b in enumerate(out)]
 
-    used = pred.where(F.col("score") >= skip)
-    return used.groupBy("image_id", "class_id").applyInPandas(run, "image_id long, class_id long, det_idx long, x1 double, y1 double, x2 double, y2 double, score double")
+    schema = "image_id long, class_id long, det_idx long, x1 double, y1 double, x2 double, y2 double, score double"
+    used = pred.where(F.col("score") >= skip).select("image_id", "class_id", "model", "det_idx", "score", *XYXY)
+    return _each_group(used, ["image_id", "class_id"], fused, schema)
 
 
 def exclusive_matches(pred: DataFrame, gt: DataFrame, least: float = 0.75) -> DataFrame:
     """Greedy one-to-one matching by score: each ground truth is used once; wrong ones report their best overlap."""
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def matched(key, rows):
         used, out = set(), []
-        boxes = [(g.obj_idx, (g.x1, g.y1, g.x2, g.y2)) for g in right.sort_values("obj_idx").itertuples()]
-        for p in left.sort_values(["score", "det_idx"], ascending=[False, True]).itertuples():
-            found = [(v, -i) for i, b in boxes if i not in used and (v := _iou(b, (p.x1, p.y1, p.x2, p.y2))) > 0]
+        truth = sorted((r["idx"], tuple(r[c] for c in XYXY)) for r in rows if r["model"] is None)
+        for p in sorted((r for r in rows if r["model"] is not None), key=lambda r: (r["model"], -r["score"], r["idx"])):
+            mine = {i for m, i in used if m == p["model"]}
+            found = [(v, -i) for i, b in truth if i not in mine and (v := _iou(b, tuple(p[c] for c in XYXY))) > 0]
             best, at = max(found, default=(0.0, None))
             if best >= least:
-                used.add(-at)
-            out.append((*key, p.det_idx, -at if best >= least else None, best, best >= least))
-        return pd.DataFrame(out, columns=["model", "image_id", "class_id", "det_idx", "gt_idx", "iou", "correct"]).astype({"gt_idx": "Int64"})
+                used.add((p["model"], -at))
+            out.append((p["model"], *key, p["idx"], -at if best >= least else None, best, best >= least))
+        return out
 
-    right = gt.crossJoin(F.broadcast(pred.select("model").distinct()))
-    keys = ["model", "image_id", "class_id"]
+    columns = ["image_id", "class_id", "model", "idx", "score", *XYXY]
+    left = pred.withColumnRenamed("det_idx", "idx").select(*columns)
+    right = gt.withColumnsRenamed({"obj_idx": "idx"}).withColumns({"model": F.lit(None).cast("string"), "score": F.lit(0.0)})
     schema = "model string, image_id long, class_id long, det_idx long, gt_idx long, iou double, correct boolean"
-    return pred.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    return _each_group(left.union(right.select(*columns)), ["image_id", "class_id"], matched, schema)
