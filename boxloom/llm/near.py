@@ -233,7 +233,7 @@ def near_duplicates(
         comp = components(links, scratch, f"comp-{turn}")
 
     if tested is None:
-        tested = links = live.select(F.col("id").alias("a"), F.col("id").alias("b"))
+        tested = links = spark.createDataFrame([], "a long, b long")
     where = live.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     left = where.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.join(classes.select("id", "regs"), "id")
