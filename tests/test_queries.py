@@ -5,7 +5,7 @@ from boxloom.plans import registry
 from .compare import differs, tables
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = ["invalid_bbox", "aspect_bins", "missing_drugs", "describe_bbox", "group_split", "yolo_boxes", "iou_best_match", "tp_flags", "submission"]
+SOME = ["invalid_bbox", "aspect_bins", "missing_drugs", "describe_bbox", "group_split", "yolo_boxes", "iou_best_match", "tp_flags", "submission", "coco_flatten", "expected_ids", "ts_resolve", "placeholder_category_fix"]
 
 
 @pytest.fixture(scope="module")
