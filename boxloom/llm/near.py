@@ -10,11 +10,14 @@ bands with a chance of about 2e-9. Inside a band:
 
 1. Documents with equal sets are one class; only its smallest id goes on.
 2. In each of a few rounds a band names one of its classes, by a hash, as its centre. Every
-   class is checked against the centre it shares most bands with, the verified links are
-   contracted to components, and bands that lie in one component are done with.
+   class is checked against the centre it shares most bands with, later against a few centres
+   of different bands; the verified links are contracted to components, and bands that lie in
+   one component are done with.
 3. Bands that still hold several components compare all their pairs across components in
-   blocks of registers, on the collision-corrected estimate alone, and pass on those that
-   may reach the threshold. No pair inside a component is ever formed.
+   blocks, on finer registers without borrowing: the share of equal ones among those that
+   either set fills, corrected for collisions, is close to exact for small sets. Pairs that
+   may reach the threshold are passed on, each by the first band that both share. No pair
+   inside a component is ever formed.
 
 Links are confirmed on the full sets by integer arithmetic; components follow from them.
 
@@ -38,16 +41,15 @@ from boxloom.llm.components import components
 
 REGISTERS, MANTISSA, ROWS = 256, 10, 6
 BANDS = REGISTERS // ROWS
-#: How far below the threshold an estimate may lie: over five standard errors of 256 registers.
-SLACK = 0.12
-#: Rounds of checks against centres; what they leave is compared in full.
-ROUNDS = 3
+#: Registers of the last comparison, and how many standard errors (and how much besides) an estimate may lie below the threshold.
+FINE, ERRORS, SLACK = 1024, 5.5, 0.01
+#: Rounds of checks against centres, and centres that a class meets in each after the first; what they leave is compared in full.
+ROUNDS, TESTS = 2, 4
 #: Members of a band that meet in one block.
 BLOCK = 1500
 #: Ids up to this number are broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
-_LOW = _U((1 << 56) - 1)
 _rank: list[np.ndarray] = []
 
 
@@ -59,17 +61,21 @@ def borrow_order() -> np.ndarray:
     return _rank[0]
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """256 two-byte registers of a sorted, non-empty set of 64-bit hashes."""
-    bucket = (hashes >> _U(56)).astype(np.int64)
+def _filled(hashes: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets (by the top bits) that sorted hashes fill, and their registers."""
+    bucket = (hashes >> _U(64 - top)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    rest = ((hashes[first] & _LOW) >> _U(8)).astype(np.int64)
+    rest = (hashes[first] << _U(top) >> _U(16)).astype(np.int64)
     bits = np.frexp(rest.astype(np.float64))[1].astype(np.int64)
     zeros = 48 - bits
     mantissa = np.where(bits > MANTISSA, rest >> np.maximum(bits - 1 - MANTISSA, 0), rest << np.maximum(MANTISSA + 1 - bits, 0))
-    full = (zeros << MANTISSA | mantissa & ((1 << MANTISSA) - 1)).astype(np.uint16)
+    return bucket[first], (zeros << MANTISSA | mantissa & ((1 << MANTISSA) - 1)).astype(np.uint16)
+
+
+def registers(hashes: np.ndarray) -> np.ndarray:
+    """256 two-byte registers of a sorted, non-empty set of 64-bit hashes."""
+    have, full = _filled(hashes, REGISTERS.bit_length() - 1)
     out = np.empty(REGISTERS, np.uint16)
-    have = bucket[first]
     out[have] = full
     if len(have) < REGISTERS:
         gaps = np.ones(REGISTERS, bool)
@@ -79,6 +85,16 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def fine_registers(hashes: np.ndarray) -> np.ndarray:
+    """More registers of such a set; EMPTY where no hash falls."""
+    have, full = _filled(hashes, FINE.bit_length() - 1)
+    out = np.full(FINE, EMPTY, np.uint16)
+    out[have] = full
+    return out
+
+
+#: No register has this value, as there are at most 48 leading zeros.
+EMPTY = np.uint16(0xFFFF)
 #: Chance that two registers of different shingles agree: both lie in one of the cells.
 COLLISION = sum(4.0**-z for z in range(1, 48)) / 2**MANTISSA
 
@@ -130,7 +146,8 @@ def _bands(batches):
             for r in range(ROWS):
                 key = mix(key * _U(31) + regs[:, :, r])
         ids = np.repeat(batch.column(0).to_numpy(), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
+        band = np.tile(np.arange(BANDS, dtype=np.int32), len(regs))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(ids)], ["key", "band", "id"])
 
 
 def _sets(n: int):
@@ -155,18 +172,39 @@ def _confirm(percent: int):
     return run
 
 
-def _compare(least: float):
+def _fine(n: int):
+    def run(batches):
+        for batch in batches:
+            found = [fine_registers(s).tobytes() for s in sets_of(batch.column(1), n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "fine"])
+
+    return run
+
+
+def _compare(percent: int):
+    least = percent / 100
+
+    def likely(fine: np.ndarray, size: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
+        """Those of js that may reach the threshold with i."""
+        js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
+        same, mine = fine[js] == fine[i], fine[i] != EMPTY
+        filled = ((fine[js] != EMPTY) | mine).sum(axis=1)
+        union = (size[js] + size[i]) / (1 + least)
+        error = np.sqrt(least * (1 - least) / filled * np.maximum(0, 1 - filled / union))
+        return js[estimate((same & mine).sum(axis=1) / filled) >= least - ERRORS * error - SLACK]
+
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, block = (table.column(c).to_numpy() for c in ("id", "comp", "block"))
-        left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
-        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        ids, comp, block, size = (table.column(c).to_numpy() for c in ("id", "comp", "block", "n_shingles"))
+        left, right, band = (table.column(c)[0].as_py() for c in ("left", "right", "band"))
+        regs, fine = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint16).reshape(-1, n) for c, n in (("regs", REGISTERS), ("fine", FINE)))
+        regs = regs[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
         rows, cols = np.flatnonzero(block == left), np.flatnonzero(block == right)
         out = []
         for i in rows:
             js = cols[(comp[cols] != comp[i]) & (ids[cols] > ids[i])] if left == right else cols[comp[cols] != comp[i]]
             if len(js):
-                agree = (regs[js] == regs[i]).mean(axis=1)
-                js = js[estimate(agree) >= least]
+                js = likely(fine, size, i, js)
+                js = js[(regs[js] == regs[i]).all(axis=2).argmax(axis=1) == band]
                 out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -206,26 +244,31 @@ def near_duplicates(
     full = signed.where("n_shingles > 0 and id is not null")
     classes = full.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("id"), F.min_by("regs", "id").alias("regs"))
     classes = scratch.keep(classes, "classes")
-    bands = scratch.keep(classes.select("id", "regs").mapInArrow(_bands, "key long, id long"), "bands")
+    bands = scratch.keep(classes.select("id", "regs").mapInArrow(_bands, "key long, band int, id long"), "bands")
 
     live, comp, links, tested = bands, None, None, None
     for turn in range(ROUNDS + 1):
-        where = live.select("key", "id")
+        tests = TESTS if turn else 1
+        where = live.select("key", "band", "id")
         where = where.join(comp, "id", "left") if comp is not None else where.withColumn("comp", F.lit(None).cast("long"))
-        where = where.select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        where = where.select("key", "band", "id", F.coalesce("comp", "id").alias("comp"))
+        drawn = F.xxhash64("id", F.lit(turn)) if tests == 1 else F.xxhash64("id", "key", F.lit(turn))
         mixed = where.groupBy("key").agg(
             F.min("comp").alias("c"),
             F.max("comp").alias("d"),
             F.count(F.lit(1)).alias("n"),
-            F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "comp")).alias("centre"),
+            F.min(F.struct(drawn, "id", "comp")).alias("centre"),
         )
         live = scratch.keep(where.join(mixed.where("c < d").select("key", "n", "centre"), "key"), f"live-{turn}", free=turn == 0)
         scratch.drop("bands" if turn == 0 else f"live-{turn - 1}")
-        if turn == ROUNDS or not live.limit(1).count():
+        left = live.limit(1).count()
+        if turn == ROUNDS or not left:
             break
         met = live.where(F.col("comp") != F.col("centre.comp")).groupBy("id", F.col("centre.id").alias("to"))
-        best = met.agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max(F.struct("n", -F.col("to"), "to")).alias("best"))
-        pairs = best.select(F.least("id", "best.to").alias("a"), F.greatest("id", "best.to").alias("b")).distinct()
+        met = met.agg(F.count(F.lit(1)).alias("n")).groupBy("id")
+        best = met.agg(F.slice(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("to"), "to")), asc=False), 1, tests).alias("best"))
+        pairs = best.select("id", F.explode("best.to").alias("to"))
+        pairs = pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
         pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, f"pairs-{turn}")
         found = _verified(docs, pairs, shingle, percent, scratch, f"round-{turn}")
         tested = pairs if tested is None else tested.union(pairs)
@@ -234,16 +277,22 @@ def near_duplicates(
 
     if tested is None:
         tested = links = spark.createDataFrame([], "a long, b long")
-    where = live.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    left = where.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = left.join(classes.select("id", "regs"), "id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = left.withColumn("other", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-    groups = left.select("key", "left", "right", "block", "id", "comp", "regs").groupBy("key", "left", "right")
-    more = groups.applyInArrow(_compare(percent / 100 - SLACK), "a long, b long").distinct()
-    more = scratch.keep(more.join(tested, ["a", "b"], "left_anti"), "more")
+    if left:
+        ids = scratch.keep(live.select("id").distinct(), "last-ids")
+        wanted = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
+        fine = docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_fine(shingle), "id long, fine binary")
+        last = classes.join(wanted, "id", "left_semi").select("id", "n_shingles", "regs")
+        last = scratch.keep(last.join(fine.dropDuplicates(["id"]), "id"), "last")
+        where = live.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        part = where.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        part = part.withColumn("other", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+        part = part.select("key", "band", "left", "right", "block", "id", "comp").join(last, "id")
+        more = part.groupBy("key", "left", "right").applyInArrow(_compare(percent), "a long, b long").distinct()
+        more = scratch.keep(more.join(tested, ["a", "b"], "left_anti"), "more")
+        links = scratch.keep(links.union(_verified(docs, more, shingle, percent, scratch, "more")), "links")
+        scratch.drop("last-ids", "last")
     scratch.drop(f"live-{turn}")
-    links = scratch.keep(links.union(_verified(docs, more, shingle, percent, scratch, "more")), "links")
     comp = components(links, scratch, "comp")
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
 
