@@ -10,7 +10,8 @@ factor, and branches below a threshold are removed from pages that hold them.
 What the markup itself declares comes first: menus, headers, footers, asides, forms,
 scripts, and branches whose class, id or role names an advert, notice, comment section and
 the like are dropped; where a page has an article or main element, only what is in it can
-be main text, and the tree decides the pages without one.
+be main text. The tree then judges the blocks that are left on every page. Pages of a host
+with the same blocks count once in it, as copies of a page don't show what the site repeats.
 
 Character references are decoded, white space in a block becomes one blank, blocks are
 joined by a line feed in page order. Null and empty pages have the empty text. Rows that
@@ -117,7 +118,7 @@ def parse(page: str) -> tuple[bool, list[tuple[str, str, bool, bool]]]:
 
 
 _SCHEMA = (
-    "page_id long, url string, host string, text string, "
+    "page_id long, url string, host string, sum long, "
     "nodes array<struct<path: string, style: string, feature: bigint>>, blocks array<string>"
 )
 
@@ -125,19 +126,19 @@ _SCHEMA = (
 def _parsed(batches):
     node = pa.struct([("path", pa.string()), ("style", pa.string()), ("feature", pa.int64())])
     for batch in batches:
-        hosts, texts, nodes, blocks = [], [], [], []
+        hosts, sums, nodes, blocks = [], [], [], []
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             found = _HOST.match(url or "")
             hosts.append(found[1].lower() if found else "")
             has_main, out = parse(page or "")
             out = [b for b in out if not b[3]]
             own = [b for b in out if b[2]] if has_main else out
-            texts.append("\n".join(b[1] for b in own) if has_main or not own else None)
             steps = [(b[0].rpartition(">")[0], b[0].rpartition(">")[2], zlib.crc32(b[1].encode()) | len(b[1]) << 32) for b in own]
             nodes.append([{"path": p, "style": s, "feature": f} for p, s, f in steps])
-            blocks.append(None if has_main or not own else [b[1] for b in own])
-        cols = [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(nodes, pa.list_(node)), pa.array(blocks, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "host", "text", "nodes", "blocks"])
+            blocks.append([b[1] for b in own])
+            sums.append(zlib.crc32(repr(steps).encode()) | len(steps) << 32)
+        cols = [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(sums, pa.int64()), pa.array(nodes, pa.list_(node)), pa.array(blocks, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "host", "sum", "nodes", "blocks"])
 
 
 def importance(nodes: DataFrame) -> DataFrame:
@@ -167,13 +168,12 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     scratch = Scratch(pages.sparkSession, "pages")
     parsed = rows.mapInArrow(_parsed, _SCHEMA).withColumn("key", F.monotonically_increasing_id())
     parsed = scratch.keep(parsed, "parsed")
-    nodes = parsed.select("key", "host", F.col("blocks").isNull().alias("decided"), F.posexplode("nodes").alias("at", "node"))
-    nodes = nodes.select("key", "host", "decided", "at", "node.*")
-    low = importance(nodes).where((F.col("importance") < least) & (F.col("pages") >= SUPPORT)).select("host", "path", "style")
-    gone = nodes.where(~F.col("decided")).join(low, ["host", "path", "style"], "left_semi").groupBy("key").agg(F.collect_set("at").alias("gone"))
-    done = parsed.where("blocks is null").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("long").alias("n_removed"))
-    open_ = parsed.where("blocks is not null").join(gone, "key", "left")
+    nodes = parsed.select("key", "host", "sum", F.posexplode("nodes").alias("at", "node")).select("key", "host", "sum", "at", "node.*")
+    once = parsed.groupBy("host", "sum").agg(F.min("key").alias("key")).select("key")
+    low = importance(nodes.join(once, "key", "left_semi")).where((F.col("importance") < least) & (F.col("pages") >= SUPPORT)).select("host", "path", "style")
+    gone = nodes.join(low, ["host", "path", "style"], "left_semi").groupBy("key").agg(F.collect_set("at").alias("gone"))
+    out = parsed.join(gone, "key", "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     kept = F.filter("blocks", lambda b, i: ~F.array_contains(gone, i))
-    open_ = open_.select("page_id", "url", F.array_join(kept, "\n").alias("text"), F.size(gone).cast("long").alias("n_removed"))
-    return done.union(open_).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
+    out = out.select("page_id", "url", F.array_join(kept, "\n").alias("text"), F.size(gone).cast("long").alias("n_removed"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")

@@ -30,3 +30,15 @@ def test_tree(spark):
         assert got[i].text == f"Story {i} tells {i * 7} things\nMore {i}" and got[i].n_chars == len(got[i].text)
     assert got[50].text.startswith("Same words") and got[51].text == got[52].text == "" and got[53].text == "Same words on all pages"
     assert pages.main_text(docs.limit(0)).count() == 0
+
+
+def test_tree_inside_main(spark):
+    def page(i):
+        return f"<body><article><div class='k3x'><p>Join our list today</p></div><div class='body'><p>Story {i} tells {i * 7} things</p></div></article></body>"
+
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(12)]
+    copies = "<article><h1>One</h1><p>The same page</p></article>"  # copies of a page aren't what a site repeats
+    rows += [(100 + i, f"http://b.example/{i}", copies) for i in range(12)]
+    got = {r.page_id: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].text == f"Story {i} tells {i * 7} things" and got[i].n_removed == 1 for i in range(12))
+    assert all(got[100 + i].text == "One\nThe same page" and got[100 + i].n_removed == 0 for i in range(12))
