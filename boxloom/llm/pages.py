@@ -8,8 +8,8 @@ a presentation node as its styles vary (their entropy); the two are combined wit
 factor, and branches below a threshold are removed from pages that hold them.
 
 What the markup itself declares comes first: menus, headers, footers, asides, forms,
-scripts, and branches whose class, id or role names an advert, notice, comment section and
-the like are dropped; where a page has an article or main element, only what is in it can
+scripts, and branches whose class, id or role is a word for an advert, comment section and
+the like are dropped, but no article or main element for the name of a branch around it; where a page has an article or main element, only what is in it can
 be main text. The tree then judges the blocks that are left on every page. Pages of a host
 with the same blocks count once in it, as copies of a page don't show what the site repeats.
 
@@ -44,11 +44,15 @@ NOISE = set("nav header footer aside form button select option menu dialog field
 RAW = "script|style|noscript|template|iframe|svg|textarea|title|object|canvas|math"
 #: Words in a class, id or role that name a branch without main text.
 NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|"
+    r"(?<!\S)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|"
     r"sidebar|widget|related|recommend\w*|comments?|repl(?:y|ies)|disqus|share|social|breadcrumbs?|pagination|pager|menu|nav\w*|"
-    r"footer|masthead|toolbar|login|search|contentinfo|complementary)(?:$|[-_\s])",
+    r"footer|masthead|toolbar|login|search|contentinfo|complementary)(?!\S)",
     re.I,
 )
+#: Of these words, those that also name parts of an article; inside one, the tree judges them.
+DOUBTFUL = set("banner login menu notice overlay search toolbar".split())
+#: Elements whose names say what an article is about, not what part of the page they are.
+TOPICS = set("h1 h2 h3 h4 h5 h6 p pre blockquote li dl dt dd table tr td th figure figcaption a b i em strong code span".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set(
     "address article aside blockquote body center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
@@ -60,9 +64,19 @@ _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://([^/?#]*)", re.I)
 
 
+def named_noise(tag: str, attributes: list[tuple[str, str]], inside: bool) -> bool:
+    """Whether class, id or role, as whole words, name a branch without main text; inside: of an article or main element."""
+    if tag in ("html", "body", "article", "main") or inside and tag in TOPICS:
+        return False
+    if inside and tag == "section":
+        attributes = [a for a in attributes if a[0] != "id"]
+    words = " ".join(v for _, v in attributes).split()
+    return any(NAMES.search(w) and not (inside and w.lower() in DOUBTFUL) for w in words)
+
+
 def parse(page: str) -> tuple[bool, list[tuple[str, str, bool, bool]]]:
     """(has a main element, blocks): each block is (path, text, in main, declared noise)."""
-    out, text, stack = [], [], []  # stack: tag, step of the path, noise, main
+    out, text, stack = [], [], []  # stack: tag, step of the path, noise, main, noise by element
     has_main, at = False, 0
 
     def flush():
@@ -106,12 +120,15 @@ def parse(page: str) -> tuple[bool, list[tuple[str, str, bool, bool]]]:
                     break
         if token[4].endswith("/"):
             continue
-        named = " ".join(a or b or c for _, a, b, c in _NAMED.findall(token[4])) if token[4].strip() else ""
-        above = stack[-1] if stack else ("", "", False, False)
+        attributes = [(k.lower(), a or b or c) for k, a, b, c in _NAMED.findall(token[4])] if token[4].strip() else []
+        named = " ".join(v for _, v in attributes)
+        above = stack[-1] if stack else ("", "", False, False, False)
         main = above[3] or tag in ("article", "main")
-        noise = above[2] or (tag in NOISE and not (tag == "header" and above[3])) or bool(named and tag not in ("html", "body", "article", "main") and NAMES.search(named))
+        element = above[4] or (tag in NOISE and not (tag == "header" and above[3]))
+        # what names say of a branch doesn't hold for the article or main element in it
+        noise = element or (above[2] and (above[3] or not main)) or named_noise(tag, attributes, above[3])
         has_main |= main and not noise
-        stack.append((tag, tag + ("." + ".".join(sorted(named.lower().split())) if named else ""), noise, main))
+        stack.append((tag, tag + ("." + ".".join(sorted(named.lower().split())) if named else ""), noise, main, element))
     text.append(page[at:])
     flush()
     return has_main, out

@@ -42,3 +42,15 @@ def test_tree_inside_main(spark):
     got = {r.page_id: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i].text == f"Story {i} tells {i * 7} things" and got[i].n_removed == 1 for i in range(12))
     assert all(got[100 + i].text == "One\nThe same page" and got[100 + i].n_removed == 0 for i in range(12))
+
+
+def test_names():
+    for outer in ("layout has-sidebar", "content-with-sidebar", "search-results", "widget", "sidebar"):
+        assert text_of(f"<body><div class='{outer}'><article><h1>Head</h1><p>Text</p></article></div></body>") == "Head\nText"
+    page = (
+        "<article><h2 id='related-work'>Related</h2><h2 id='related'>More</h2><section id='search'><p>Find</p></section><p class='notice'>Note</p>"
+        "<div class='notice'>Take care</div><h3 id='social-impact'>Impact</h3><div class='share'>Share</div>"
+        "<section class='comments'><article><p>Nice</p></article></section></article><div class='related'>Else</div>"
+    )
+    assert text_of(page) == "Related\nMore\nFind\nNote\nTake care\nImpact"
+    assert text_of("<main><nav><article>no</article></nav><p>yes</p></main>") == "yes"
