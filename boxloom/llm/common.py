@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +18,11 @@ _U = np.uint64
 # ---------------------------------------------------------------- scratch tables
 
 
+_local: dict[str, str] = {}
+#: Spark's setting for deleting shuffle files when their query has ended; on only while a scratch table is written.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only for a single-machine session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,15 +30,7 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="boxloom-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets the driver notice which shuffles nothing refers to, so that executors delete their files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="boxloom-"))
 
 
 class Scratch:
@@ -45,10 +41,13 @@ class Scratch:
         self.base = f"{scratch_root(spark)}/boxloom-{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
-        path, schema = f"{self.base}/{name}", df.schema
-        df.write.mode("overwrite").parquet(path)
-        if free:
-            free_shuffles(self.spark)
+        path, schema, conf = f"{self.base}/{name}", df.schema, self.spark.conf
+        before = conf.get(CLEAN, "false")
+        conf.set(CLEAN, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(CLEAN, before)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -66,8 +65,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of texts of about BLOCK_BYTES; a null text is empty."""
+def sliced(run, rows: int = 1000):
+    """The same function of Arrow batches, fed slices of a few rows: whole texts are large.
+
+    No session setting is touched; Spark bounds a batch in bytes itself.
+    """
+
+    def small(batches):
+        return run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+    return small
+
+
+def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of texts of about ``size`` bytes; a null text is empty."""
     texts = texts.fill_null("") if texts.null_count else texts
     texts = texts.cast(pa.large_string())
     _, offs, data = texts.buffers()
@@ -75,7 +86,7 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + BLOCK_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         j = min(j, len(texts))
         yield i, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j

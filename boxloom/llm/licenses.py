@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import ALNUM_WORD, Scratch, blocks, shingles, small_batches, words_of
+from boxloom.llm.common import ALNUM_WORD, Scratch, blocks, shingles, sliced, words_of
 
 GRAM = 3
 #: Diagonals this far apart belong to one span.
@@ -123,10 +123,9 @@ def spans(hits: DataFrame, grams: DataFrame, least: float = LEAST) -> DataFrame:
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=None) -> DataFrame:
     """One row per input row: id, n_words, base places and labels, all labels, score and spans."""
     spark = docs.sparkSession
-    small_batches(spark)
     templates = templates or TEMPLATES
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = pairs.mapInArrow(_scan(templates), _SCHEMA).withColumn("key", F.monotonically_increasing_id())
+    found = pairs.mapInArrow(sliced(_scan(templates)), _SCHEMA).withColumn("key", F.monotonically_increasing_id())
     found = Scratch(spark, "licenses").keep(found, "scanned")
     hits = found.select("key", F.explode("hits").alias("hit")).select("key", "hit.pos", "hit.gram")
     sure = spans(hits, template_grams(spark, templates)).groupBy("key").agg(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm import jpeg
-from boxloom.llm.common import small_batches
+from boxloom.llm.common import sliced
 
 BLOCK = 64
 
@@ -52,12 +52,11 @@ def _described(batches):
 
 def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and media: each text as a progressive JPEG stream."""
-    small_batches(docs.sparkSession, 200)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return pairs.mapInArrow(_stored, "id long, n_bytes long, media binary")
+    return pairs.mapInArrow(sliced(_stored, 200), "id long, n_bytes long, media binary")
 
 
 def describe(media: DataFrame) -> DataFrame:
     """Decodes stored streams: payload sums, media sums and a feature of the RGB tensor."""
     schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(_described, schema)
+    return media.mapInArrow(sliced(_described, 200), schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import Scratch, small_batches
+from boxloom.llm.common import Scratch, sliced
 
 #: Branches of a lower importance are removed.
 LEAST = 0.2
@@ -180,10 +180,9 @@ def importance(nodes: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars, n_removed (blocks the tree removed)."""
-    small_batches(pages.sparkSession, 500)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     scratch = Scratch(pages.sparkSession, "pages")
-    parsed = rows.mapInArrow(_parsed, _SCHEMA).withColumn("key", F.monotonically_increasing_id())
+    parsed = rows.mapInArrow(sliced(_parsed, 500), _SCHEMA).withColumn("key", F.monotonically_increasing_id())
     parsed = scratch.keep(parsed, "parsed")
     nodes = parsed.select("key", "host", "sum", F.posexplode("nodes").alias("at", "node")).select("key", "host", "sum", "at", "node.*")
     once = parsed.groupBy("host", "sum").agg(F.min("key").alias("key")).select("key")

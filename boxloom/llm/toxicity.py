@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import ALNUM_WORD, blocks, small_batches, words_of
+from boxloom.llm.common import ALNUM_WORD, blocks, sliced, words_of
 
 SAMPLE = 20_000
 FEATURES = 4000
@@ -157,15 +157,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     labels = labels.where(F.col("id").isNotNull() & F.col("toxic").isNotNull()).groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = labels.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample)
     some = docs.join(F.broadcast(some), "id").dropDuplicates(["id"]).select("id", "text", "toxic")
-    rows = some.mapInArrow(_sampled, "id long, toxic int, cells array<int>").toArrow().sort_by("id")
+    rows = some.mapInArrow(sliced(_sampled), "id long, toxic int, cells array<int>").toArrow().sort_by("id")
     cells = [np.asarray(c.values) for c in rows.column("cells")] if rows.num_rows else []
     return cells, np.array(rows.column("toxic").to_pylist(), np.int64)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per input row: id, a probability for each category, and toxic."""
-    small_batches(docs.sparkSession)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).cast("long").alias("id"), "toxic")
     chain = train(*training_rows(pairs, marks, sample))
-    return pairs.mapInArrow(_scored(chain), f"id long, {', '.join(f'p_{c} double' for c in CHAIN)}, toxic boolean")
+    return pairs.mapInArrow(sliced(_scored(chain)), f"id long, {', '.join(f'p_{c} double' for c in CHAIN)}, toxic boolean")
