@@ -7,30 +7,38 @@ every 50-byte string holds exactly one leading trigger, so equal strings lie in
 places of equally triggered phrases; no position is lost, whatever the hash values are.
 
 1. Exact copies: only the smallest id of equal texts is parsed, the others go whole.
-2. Triggers that occur in several documents mark the phrases that may repeat. A unit of
-   documents sends each of its triggers once, so a trigger shared by a third of all
-   documents costs one record a unit.
-3. A unit puts its marked phrases, with the bytes their strings need, into a dictionary;
-   copies of a phrase in the unit are decided there. Dictionaries meet by trigger: all
-   suffixes of 50 bytes are put in suffix-array order, and inside equal suffixes the parse
-   gives corpus order (by document id). All but those of the first document are repeats.
+2. Triggers that occur in several documents mark the phrases that may repeat. Documents are
+   read in units; a unit sends each of its triggers once to the trigger's part and gets one
+   answer from every part, so a trigger shared by a third of all documents costs one record
+   a unit. A unit's answers meet and are dealt to its documents.
+3. The marked phrases, each with the bytes its strings need, meet by trigger. Every part
+   holds the distinct phrases (the dictionary, in lexicographic order) and their places (the
+   parse). The dictionary's suffix array orders all suffixes of at least 50 bytes; the
+   parse's suffix array orders the places by phrase rank, then document. No string passes the
+   end of its phrase, so that array needs a depth of one phrase. Combined they are the corpus
+   order: a run of equal suffixes belongs to the smallest document of its phrases, and every
+   other place is a repeat.
 4. Every document collects the places of its repeated strings and drops their bytes.
 
+The number of parts follows the input, without a bound; a unit sends at most one record to a
+part and none without triggers, so records never outnumber triggers.
+
 Null and empty texts have no bytes. Texts below 50 bytes lose nothing. Rows that repeat an
-id are the same document: they never shorten each other. Rows with a null id lose nothing
-and shorten no others. Other columns travel in a struct and can't clash.
+id are one document, whatever their texts: they never shorten each other, and each is judged
+by its own bytes. Rows with a null id lose nothing and shorten no others. Very long texts
+are parsed in one block of their own. Empty tables give no rows. Other columns travel in a
+struct and can't clash.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import Scratch, blocks, prefix_sums, range_hashes, small_batches, small_enough
+from boxloom.llm.common import Scratch, blocks, prefix_sums, range_hashes, sliced, small_enough
 
 LENGTH, TRIGGER = 50, 24
 #: Bytes of text whose phrases form one dictionary before the shuffle.
@@ -39,8 +47,7 @@ UNIT_BYTES = 8 << 20
 PART_BYTES = 16 << 20
 #: Bytes of text for each part of the dictionaries: each holds up to a suffix a byte.
 SUFFIX_BYTES = 2 << 20
-MAX_PARTS = 65536
-#: Ids of exact copies up to this number are broadcast (8 bytes each); beyond, the join shuffles.
+#: Keys of exact copies up to this number are broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
 _HIGH, _PLACE = _U(0xFFFFFFFF00000000), _U(0xFFFFFFFF)
@@ -70,174 +77,210 @@ def phrases(raw: np.ndarray, offsets: np.ndarray, sums: np.ndarray, length: int
     return text[first], first, last, rolling[place[new]]
 
 
-def _five(values: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
-
-
-def _eight(data: bytes) -> np.ndarray:
-    part = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(part), 8), np.uint8)
-    out[:, :5] = part
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
 def _split(order_by: np.ndarray):
     """Starts and ends of runs of equal values."""
     cut = np.flatnonzero(np.r_[True, order_by[1:] != order_by[:-1]]) if len(order_by) else np.zeros(0, np.int64)
-    return cut, np.r_[cut[1:], len(order_by)]
+    return cut, np.r_[cut[1:], len(order_by)] if len(cut) else cut
 
 
-def _deltas(ids: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(ids, prepend=0).astype("<i8").tobytes(), 1)
+def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> _U(32)) % _U(parts)).astype(np.int64)
 
 
-def _ids(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i8"))
+#: What a unit sends: its rows (ROWS), places it knows itself (TOLD), or records of a part.
+ROWS, TOLD = -2, -1
+_UP = "unit long, part int, a binary, b binary"
+_DOWN = "unit long, places binary"
+_ROW = np.dtype([("doc", "<i8"), ("key", "<i8")])
+#: A row of the unit and five bytes of a trigger.
+_MARK = np.dtype([("row", "<u4"), ("low", "<u4"), ("high", "u1")])
+#: A row of the unit, a place in it, and which strings from there on are repeats.
+_CUT = np.dtype([("row", "<u4"), ("at", "<u4"), ("mask", "<u4")])
+_ENTRY = np.dtype([("doc", "<i8"), ("row", "<u4"), ("at", "<u4"), ("size", "u1")])
 
 
-def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> _U(32)) % _U(parts)).astype(np.int64)
+def _marks(row: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    out = np.empty(len(row), _MARK)
+    out["row"], out["low"], out["high"] = row, rest & _U(0xFFFFFFFF), rest >> _U(32)
+    return out
 
 
-_UP = "doc_id long, part int, a binary, b binary, c binary"
-_DOWN = "doc_id long, places binary"
+def _rest(marks: np.ndarray) -> np.ndarray:
+    return marks["low"].astype(np.uint64) | marks["high"].astype(np.uint64) << _U(32)
 
 
-def _rows(doc, part, a, b=None, c=None) -> pa.RecordBatch:
+def _slices(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """One binary value for each range [at[i], at[i + 1]) of records."""
+    data = np.ascontiguousarray(data)
+    wide = data.dtype.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * wide).astype(np.int64)), pa.py_buffer(data.view(np.uint8))]).cast(pa.binary())
+
+
+def _sent(unit: int, part, a: pa.Array, b: pa.Array | None = None) -> pa.RecordBatch:
     n = len(a)
-    cols = [pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(a, pa.binary())]
-    cols += [pa.array(x if x is not None else [None] * n, pa.binary()) for x in (b, c)]
-    return pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "a", "b", "c"])
+    part = pa.array(np.broadcast_to(np.asarray(part, np.int32), n))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, unit)), part, a, b if b is not None else pa.nulls(n, pa.binary())], ["unit", "part", "a", "b"])
+
+
+def _whole(unit: int, part: int, data: np.ndarray) -> pa.RecordBatch:
+    return _sent(unit, part, pa.array([data.tobytes()], pa.binary()))
+
 
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start[i] .. start[i] + size[i] of all i, joined."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
-def _to_docs(doc: np.ndarray, data: np.ndarray) -> tuple[list, list]:
-    """One row of bytes for each document; data has a row of bytes for each place."""
-    order = np.argsort(doc, kind="stable")
-    doc, data = doc[order], np.ascontiguousarray(data[order])
-    lo, hi = _split(doc)
-    return doc[lo].tolist(), [data[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())]
+
+class _Units:
+    """Numbers units: equal however often a task runs."""
+
+    def __init__(self):
+        self.next = TaskContext.get().partitionId() << 32
+
+    def number(self) -> int:
+        self.next += 1
+        return self.next
 
 
 def _triggers(parts: int, unit_bytes: int):
-    def flush(hashes, docs):
-        h, d = np.concatenate(hashes), np.concatenate(docs)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        once = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
-        h, d = h[once], d[once]
+    def flush(unit, hashes, rows, members):
+        ids = np.array(members, _ROW)
+        h, r = np.concatenate(hashes), np.concatenate(rows)
+        order = np.lexsort((ids["doc"][r], h))
+        h, r = h[order], r[order]
         lo, hi = _split(h)
-        many = np.repeat(hi - lo > 1, hi - lo)
-        if many.any():
-            doc, places = _to_docs(d[many], _five(h[many] & _REST))
-            yield _rows(doc, [None] * len(doc), places)
-        h, d, many = h[lo], d[lo], hi - lo > 1
+        docs = ids["doc"][r]
+        many = docs[lo] != docs[hi - 1]
+        told = np.repeat(many, hi - lo)
+        yield _whole(unit, ROWS, ids)
+        if told.any():
+            yield _whole(unit, TOLD, _marks(r[told], h[told] & _REST))
+        h, r = h[lo], r[lo]
         part = _part_of(h, parts)
-        order = np.lexsort((d, part))
-        h, d, many, part = h[order], d[order], many[order], part[order]
-        rest = (h & _REST) | many.astype(np.uint64)
-        out = ([], [], [], [])
-        for x, y in zip(*map(np.ndarray.tolist, _split(part))):
-            own, n = np.unique(d[x:y], return_counts=True)
-            for kept, v in zip(out, (int(part[x]), _five(rest[x:y]).tobytes(), _deltas(own), zlib.compress(n.astype("<u4").tobytes(), 1))):
-                kept.append(v)
-        yield _rows([None] * len(out[0]), *out)
+        order = np.lexsort((r, part))
+        part = part[order]
+        data = _marks(r[order], (h[order] & _REST) | many[order].astype(np.uint64))
+        lo, hi = _split(part)
+        yield _sent(unit, part[lo], _slices(data, np.r_[lo, len(part)]))
 
     def run(batches):
-        hashes, docs, size = [], [], 0
+        units, hashes, rows, members, size = _Units(), [], [], [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, raw, offsets in blocks(batch.column(1)):
+            ids, keys = (batch.column(i).to_pylist() for i in (0, 1))
+            for row, raw, offsets in blocks(batch.column(2)):
                 text, _, _, h = phrases(raw, offsets, prefix_sums(raw))
                 hashes.append(h)
-                docs.append(ids[row + text].astype(np.int64))
+                rows.append(text + len(members))
+                n = len(offsets) - 1
+                members += zip(ids[row : row + n], keys[row : row + n])
                 size += len(raw)
                 if size >= unit_bytes:
-                    yield from flush(hashes, docs)
-                    hashes, docs, size = [], [], 0
-        if hashes and size:
-            yield from flush(hashes, docs)
+                    yield from flush(units.number(), hashes, rows, members)
+                    hashes, rows, members, size = [], [], [], 0
+        if size:
+            yield from flush(units.number(), hashes, rows, members)
 
     return run
 
 
+def _answers(units: list[int], owner: np.ndarray, data: np.ndarray) -> pa.Table:
+    """One row for each unit that has records; owner: the place of a record's unit in the list."""
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    lo, hi = _split(owner)
+    return pa.table({"unit": pa.array([units[i] for i in owner[lo].tolist()], pa.int64()), "places": _slices(data[order], np.r_[lo, len(owner)])})
+
+
 def _shared(table: pa.Table) -> pa.Table:
-    """Triggers of one part that several documents hold: told to those that don't know yet."""
-    rest, docs = [], []
-    for a, b, c in zip(*(table.column(x).to_pylist() for x in "abc")):
-        rest.append(_eight(a))
-        docs.append(np.repeat(_ids(b), np.frombuffer(zlib.decompress(c), "<u4")))
-    rest, docs = np.concatenate(rest), np.concatenate(docs)
+    """Triggers of one part that several documents hold: told to the units that don't know yet.
+
+    Two units may hold rows of one document only; such a trigger is told too, and decided later.
+    """
+    units, data = table.column("unit").to_pylist(), [np.frombuffer(a, _MARK) for a in table.column("a").to_pylist()]
+    owner, data = np.repeat(np.arange(len(data)), [len(x) for x in data]), np.concatenate(data)
+    rest = _rest(data)
+    order = np.argsort(rest & _REST, kind="stable")
+    data, owner, rest = data[order], owner[order], rest[order]
     many, rest = (rest & _U(1)).astype(bool), rest & _REST
-    order = np.argsort(rest, kind="stable")
-    rest, docs, many = rest[order], docs[order], many[order]
     lo, hi = _split(rest)
     hit = np.repeat((hi - lo > 1) | np.logical_or.reduceat(many, lo), hi - lo) & ~many
-    doc, places = _to_docs(docs[hit], _five(rest[hit]))
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "places": pa.array(places, pa.binary())})
+    return _answers(units, owner[hit], _marks(data["row"][hit], rest[hit]))
 
 
-def _dictionary(parts: int, unit_bytes: int):
-    pair = np.dtype([("at", "<u4"), ("mask", "<u4")])
+def _same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size[i] bytes from a[i] and from b[i] are equal."""
+    if not len(size):
+        return np.zeros(0, bool)
+    equal = text[_ragged(a, size)] == text[_ragged(b, size)]
+    return np.logical_and.reduceat(equal, np.cumsum(size) - size)
+
 
-    def flush(unit):
-        h, d, at, n, mark, size = (np.concatenate(x) for x in list(zip(*unit))[:6])
-        text = np.concatenate([u[6] for u in unit])
+def _dictionary(parts: int, unit_bytes: int):
+    def flush(unit, members, found):
+        h, r, at, n, mark = (np.concatenate(x) for x in list(zip(*found))[:5])
+        text, ids = np.concatenate([u[5] for u in found]), np.array(members, _ROW)
+        d, size = ids["doc"][r], n + LENGTH - 1
         begin = np.cumsum(size) - size
         order = np.lexsort((d, n, mark))
         lo, hi = _split(mark[order])
-        least = np.repeat(d[order][lo], hi - lo)
-        later = np.zeros(len(d), bool)
-        later[order] = d[order] > least
-        if later.any():
-            found = np.empty(int(later.sum()), pair)
-            found["at"], found["mask"] = at[later], (1 << n[later]) - 1
-            doc, places = _to_docs(d[later], found.view(np.uint8).reshape(-1, 8))
-            yield _rows(doc, [None] * len(doc), places)
-        keep = np.flatnonzero(~later)
+        lead = np.empty(len(d), np.int64)
+        lead[order] = np.repeat(order[lo], hi - lo)
+        later = np.flatnonzero((d > d[lead]) & (size == size[lead]))
+        later = later[_same_bytes(text, begin[later], begin[lead[later]], size[later])]
+        yield _whole(unit, ROWS, ids)
+        if len(later):
+            cut = np.empty(len(later), _CUT)
+            cut["row"], cut["at"], cut["mask"] = r[later], at[later], (1 << n[later]) - 1
+            yield _whole(unit, TOLD, cut)
+        keep = np.ones(len(d), bool)
+        keep[later] = False
+        keep = np.flatnonzero(keep)
         part = _part_of(h[keep], parts)
         order = np.lexsort((h[keep], part))
         keep, part = keep[order], part[order]
-        out = ([], [], [], [])
-        for x, y in zip(*map(np.ndarray.tolist, _split(part))):
-            own = keep[x:y]
-            lens = size[own]
-            index = np.repeat(begin[own] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-            where = np.empty(len(own), np.dtype([("doc", "<i8"), ("at", "<u4")]))
-            where["doc"], where["at"] = d[own], at[own]
-            for kept, v in zip(out, (int(part[x]), zlib.compress(text[index].tobytes(), 1), zlib.compress(lens.astype("<u2").tobytes(), 1), zlib.compress(where.tobytes(), 1))):
-                kept.append(v)
-        yield _rows([None] * len(out[0]), *out)
+        entry = np.empty(len(keep), _ENTRY)
+        entry["doc"], entry["row"], entry["at"], entry["size"] = d[keep], r[keep], at[keep], size[keep]
+        lo, hi = _split(part)
+        ends = np.r_[0, np.cumsum(size[keep])]
+        cut = np.r_[lo, len(keep)]
+        yield _sent(unit, part[lo], _slices(text[_ragged(begin[keep], size[keep])], ends[cut]), _slices(entry, cut))
 
     def run(batches):
-        unit, size = [], 0
+        units, found, members, size = _Units(), [], [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            marks = [np.unique(_eight(b"".join(m))) for m in batch.column(2).to_pylist()]
-            for row, raw, offsets in blocks(batch.column(1)):
+            ids, keys = (batch.column(i).to_pylist() for i in (0, 1))
+            told = [np.unique(_rest(np.frombuffer(m, _MARK))) for m in batch.column(3).to_pylist()]
+            for row, raw, offsets in blocks(batch.column(2)):
                 sums = prefix_sums(raw)
                 text, first, last, h = phrases(raw, offsets, sums)
-                wanted = [m | (_U(i) << _U(44)) for i, m in enumerate(marks[row : row + len(offsets) - 1])]
+                count = len(offsets) - 1
+                wanted = [m | (_U(i) << _U(44)) for i, m in enumerate(told[row : row + count])]
                 keep = np.isin((h & _REST) | (text.astype(np.uint64) << _U(44)), np.concatenate(wanted))
                 text, first, last, h = text[keep], first[keep], last[keep], h[keep]
                 if len(text):
                     lens = last - first + LENGTH
-                    index = np.repeat(first - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-                    unit.append((h, ids[row + text], first - offsets[text], last - first + 1, range_hashes(sums, first, last + LENGTH), lens, raw[index]))
+                    found.append((h, text + len(members), first - offsets[text], last - first + 1, range_hashes(sums, first, last + LENGTH), raw[_ragged(first, lens)]))
+                    members += zip(ids[row : row + count], keys[row : row + count])
                     size += int(lens.sum())
                 if size >= unit_bytes:
-                    yield from flush(unit)
-                    unit, size = [], 0
-        if unit:
-            yield from flush(unit)
+                    yield from flush(units.number(), members, found)
+                    found, members, size = [], [], 0
+        if found:
+            yield from flush(units.number(), members, found)
 
     return run
 
 
+def _words(text: np.ndarray, count: int) -> np.ndarray:
+    """The eight bytes from every place on as a number; ``count`` more words may be read behind the end."""
+    padded = np.r_[text, np.zeros(8 * count, np.uint8)]
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(">u8").ravel().astype(np.uint64)
+
+
 def suffix_order(text: np.ndarray, start: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(order, new): starts sorted by their ``length`` bytes, then by document; where other bytes begin."""
     words = -(-length // 8)
-    padded = np.r_[text, np.zeros(8 * words, np.uint8)]
-    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(">u8").ravel().astype(np.uint64)
+    eight = _words(text, words)
     keys = [eight[start + 8 * i] for i in range(words)]
     keys[-1] &= ~_U((1 << 8 * (8 * words - length)) - 1)
     del eight
@@ -250,33 +293,73 @@ def suffix_order(text: np.ndarray, start: np.ndarray, doc: np.ndarray, length: i
     return order, new
 
 
+def phrase_order(text: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): phrases in lexicographic order, equal ones by document; where another phrase begins."""
+    words = -(-int(size.max(initial=1)) // 8)
+    eight, keys = _words(text, words), []
+    for i in range(words):
+        spare = np.clip(8 * (i + 1) - size, 0, 8)  # bytes of this word behind the phrase
+        low = (_U(8) * spare.astype(np.uint64)) & _U(63)
+        keys.append(np.where(spare == 8, _U(0), eight[np.minimum(begin + 8 * i, len(eight) - 1)] >> low << low))
+    keys.append(size.astype(np.uint64))
+    order = np.lexsort((doc, *reversed(keys)))
+    new = np.zeros(len(size), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, new
+
+
 def _repeated(table: pa.Table) -> pa.Table:
-    texts, lens, wheres = [], [], []
-    for a, b, c in zip(*(table.column(x).to_pylist() for x in "abc")):
-        texts.append(np.frombuffer(zlib.decompress(a), np.uint8))
-        lens.append(np.frombuffer(zlib.decompress(b), "<u2").astype(np.int64))
-        wheres.append(np.frombuffer(zlib.decompress(c), np.dtype([("doc", "<i8"), ("at", "<u4")])))
-    text, size, where = np.concatenate(texts), np.concatenate(lens), np.concatenate(wheres)
-    n = size - LENGTH + 1
-    entry = np.repeat(np.arange(len(n)), n)
-    shift = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
-    doc = where["doc"][entry]
-    order, new = suffix_order(text, (np.cumsum(size) - size)[entry] + shift, doc)
-    first = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    later = np.zeros(len(doc), bool)
-    later[order] = doc[order] > first
-    mask = np.zeros(len(n), np.int64)
-    np.add.at(mask, entry[later], 1 << shift[later])
+    """Repeated strings of one part, by its dictionary's and its parse's suffix arrays."""
+    units, entry = table.column("unit").to_pylist(), [np.frombuffer(b, _ENTRY) for b in table.column("b").to_pylist()]
+    text = np.frombuffer(b"".join(table.column("a").to_pylist()), np.uint8)
+    owner, entry = np.repeat(np.arange(len(entry)), [len(x) for x in entry]), np.concatenate(entry)
+    size, doc = entry["size"].astype(np.int64), entry["doc"].astype(np.int64)
+    begin = np.cumsum(size) - size
+    # the dictionary, and the parse's order: places by phrase rank, then document
+    order, new = phrase_order(text, begin, size, doc)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    head = order[new]
+    least, n = doc[head], size[head] - LENGTH + 1
+    # the dictionary's suffix array, equal suffixes by their phrases' first document
+    phrase = np.repeat(np.arange(len(head)), n)
+    shift = np.arange(len(phrase)) - np.repeat(np.cumsum(n) - n, n)
+    suffix, other = suffix_order(text, begin[head][phrase] + shift, least[phrase])
+    holder = least[phrase][suffix][np.flatnonzero(other)][np.cumsum(other) - 1]
+    lost = suffix[least[phrase][suffix] > holder]
+    own = np.zeros(len(head), np.int64)
+    np.bitwise_or.at(own, phrase[lost], 1 << shift[lost])
+    # corpus order: what a smaller document holds, by the phrase itself or by another phrase's suffix
+    mask = np.where(doc > least[rank], (1 << n[rank]) - 1, own[rank])
     hit = mask > 0
-    found = np.empty(int(hit.sum()), np.dtype([("at", "<u4"), ("mask", "<u4")]))
-    found["at"], found["mask"] = where["at"][hit], mask[hit]
-    ids, places = _to_docs(where["doc"][hit].astype(np.int64), found.view(np.uint8).reshape(-1, 8))
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "places": pa.array(places, pa.binary())})
+    cut = np.empty(int(hit.sum()), _CUT)
+    cut["row"], cut["at"], cut["mask"] = entry["row"][hit], entry["at"][hit], mask[hit]
+    return _answers(units, owner[hit], cut)
+
+
+def _dealt(kind: np.dtype):
+    """A unit's places to its rows."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, places = np.frombuffer(ids, _ROW), np.frombuffer(b"".join(places), kind)
+                places = places[np.argsort(places["row"], kind="stable")]
+                lo, hi = _split(places["row"])
+                own = ids[places["row"][lo]]
+                if len(own):
+                    cols = [pa.array(own["doc"].copy()), pa.array(own["key"].copy()), _slices(places, np.r_[lo, len(places)])]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "places"])
+
+    return run
 
 
 def spans_of(places: bytes, length: int = LENGTH) -> np.ndarray:
-    """Maximal removed runs [start, end) from (place, mask) pairs."""
-    pairs = np.frombuffer(places, np.dtype([("at", "<u4"), ("mask", "<u4")]))
+    """Maximal removed runs [start, end) from places with masks."""
+    pairs = np.frombuffer(places, _CUT)
     bit = (pairs["mask"][:, None] >> np.arange(LENGTH - TRIGGER + 1, dtype=np.uint32)) & 1
     row, col = np.nonzero(bit)
     start = np.unique(pairs["at"][row].astype(np.int64) + col)
@@ -292,7 +375,7 @@ def _remove(batches):
             if copy.as_py() and len(data) >= LENGTH:
                 cut = np.array([[0, len(data)]])
             else:
-                cut = spans_of(b"".join(places.as_py())) if places.is_valid else np.zeros((0, 2), np.int64)
+                cut = spans_of(places.as_py()) if places.is_valid else np.zeros((0, 2), np.int64)
             at, rest = 0, []
             for x, y in cut.tolist():
                 rest.append(data[at:x])
@@ -303,42 +386,46 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), pa.array(kept, pa.binary())], ["_row", "spans", "kept"])
 
 
-def _down(up: DataFrame, reduce, scratch: Scratch, name: str) -> DataFrame:
-    """Rows for documents: those sent directly and the answers of each part, by document."""
-    told = up.where("part is null").select("doc_id", F.col("a").alias("places"))
-    answers = up.where("part is not null").select("part", "a", "b", "c").groupBy("part").applyInArrow(reduce, _DOWN)
-    both = told.union(answers).groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    return scratch.keep(both, name, free=True)
+def _down(up: DataFrame, reduce, kind: np.dtype, scratch: Scratch, name: str) -> DataFrame:
+    """(doc_id, key, places) for rows that have any: a unit's own places and the answers of the parts."""
+    told = up.where(F.col("part") == TOLD).select("unit", F.col("a").alias("places"))
+    answers = up.where("part >= 0").select("unit", "part", "a", "b").groupBy("part").applyInArrow(reduce, _DOWN)
+    members = up.where(F.col("part") == ROWS).select("unit", F.col("a").alias("ids"))
+    both = told.union(answers).groupBy("unit").agg(F.collect_list("places").alias("places")).join(members, "unit")
+    dealt = both.select("ids", "places").mapInArrow(_dealt(kind), "doc_id long, key long, places binary")
+    return scratch.keep(dealt.dropDuplicates(["doc_id", "key"]), name)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES, part_bytes: int = PART_BYTES, suffix_bytes: int = SUFFIX_BYTES) -> DataFrame:
     """One row per input row: _row (all its columns), spans (start, end in bytes) and kept (bytes)."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
     scratch = Scratch(spark, "repeats")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # a row is its id and its text: rows that repeat an id with other texts stay apart
+    total_sum = F.sha2(F.col(text_col), 256)
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(total_sum).alias("key")]
+    plain = docs.select(*own, F.col(text_col).alias("text"))
     long = plain.where((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull())
-    sums = long.select("doc_id", F.sha2("text", 256).alias("sum"), F.octet_length("text").alias("n"))
+    sums = long.select("doc_id", "key", F.sha2("text", 256).alias("sum"), F.octet_length("text").alias("n"))
     sums = scratch.keep(sums, "sums")
     total = sums.agg(F.sum("n")).first()[0] or 0
-    parts, finer = (min(MAX_PARTS, max(8, total // x)) for x in (PART_BYTES, SUFFIX_BYTES))
+    parts, finer = (max(8, total // x) for x in (part_bytes, suffix_bytes))
     same = sums.groupBy("sum").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = sums.join(same, "sum").where("doc_id > least").select("doc_id").distinct()
+    copies = sums.join(same, "sum").where("doc_id > least").select("doc_id", "key").distinct()
     copies = scratch.keep(copies, "copies")
     small = small_enough(copies, BROADCAST_IDS)
-    once = long.join(F.broadcast(copies) if small else copies, "doc_id", "left_anti")
+    once = long.join(F.broadcast(copies) if small else copies, ["doc_id", "key"], "left_anti")
 
-    up = scratch.keep(once.mapInArrow(_triggers(parts, UNIT_BYTES), _UP), "triggers")
-    marks = _down(up, _shared, scratch, "marks")
+    up = scratch.keep(once.mapInArrow(sliced(_triggers(parts, unit_bytes)), _UP), "triggers")
+    marks = _down(up, _shared, _MARK, scratch, "marks")
     scratch.drop("triggers", "sums")
-    marked = once.join(marks, "doc_id").select("doc_id", "text", "places")
-    up = scratch.keep(marked.mapInArrow(_dictionary(finer, UNIT_BYTES), _UP), "dictionary", free=True)
-    cuts = _down(up, _repeated, scratch, "cuts")
+    marked = once.join(marks, ["doc_id", "key"]).select("doc_id", "key", "text", "places")
+    up = scratch.keep(marked.mapInArrow(sliced(_dictionary(finer, unit_bytes)), _UP), "dictionary")
+    cuts = _down(up, _repeated, _CUT, scratch, "cuts")
     scratch.drop("dictionary", "marks")
 
-    whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    whole = docs.select(F.struct("*").alias("_row"), *own, F.col(text_col).alias("text"))
     flag = copies.withColumn("copy", F.lit(True))
-    whole = whole.join(F.broadcast(flag) if small else flag, "doc_id", "left").join(cuts, "doc_id", "left")
+    whole = whole.join(F.broadcast(flag) if small else flag, ["doc_id", "key"], "left").join(cuts, ["doc_id", "key"], "left")
     row = whole.schema["_row"].dataType.simpleString()
     out = whole.select("_row", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places")
-    return out.mapInArrow(_remove, f"_row {row}, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    return out.mapInArrow(sliced(_remove), f"_row {row}, spans array<struct<start: bigint, end: bigint>>, kept binary")

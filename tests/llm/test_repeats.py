@@ -41,25 +41,42 @@ def corpus():
     return [(i * 3 + 1, t) for i, t in enumerate(texts)]
 
 
-def check(spark, rows):
+def check(spark, rows, **sizes):
+    """Against the strings of all rows, a text at a time; rows of one id and text can't be told apart."""
     docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, places string").repartition(5)
     got = {}
-    for r in repeats.remove_repeats(docs).collect():
+    for r in repeats.remove_repeats(docs, **sizes).collect():
         got.setdefault(r._row.doc_id, []).append(([(s.start, s.end) for s in r.spans], bytes(r.kept)))
         assert r._row.places == "z"
-    assert got == brute(rows)
+    want = brute(rows)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
 def test_against_brute_force(spark, monkeypatch):
     rows = corpus()
     check(spark, rows)
-    monkeypatch.setattr(repeats, "UNIT_BYTES", 300)
-    monkeypatch.setattr(repeats, "PART_BYTES", 200)
     monkeypatch.setattr(repeats, "BROADCAST_IDS", 0)
-    check(spark, rows)
+    check(spark, rows, unit_bytes=300, part_bytes=200, suffix_bytes=60)
+
+
+def test_equal_hashes_are_compared():
+    raw = np.frombuffer(("ab" * 60 + "cd" * 60).encode(), np.uint8)
+    assert repeats._same_bytes(raw, np.array([0, 0]), np.array([60, 120]), np.array([60, 60])).tolist() == [True, False]
 
 
 def test_edges(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    long = "".join(random.Random(1).choices("abcdefgh", k=200))
+    rng = random.Random(1)
+    long, other = ("".join(rng.choices("abcdefgh", k=200)) for _ in range(2))
     check(spark, [(None, long), (None, long), (5, long), (5, long), (9, "k" + long), (2, "short")])
+    # one id with several texts: each row is judged by its own bytes
+    check(spark, [(1, long), (5, long), (5, other), (5, other), (7, other + "k"), (5, "x" + long + other)])
+
+
+def test_very_long_text(spark):
+    rng = random.Random(3)
+    head = "".join(rng.choices("abcdefgh", k=300))
+    body = "".join(rng.choices("abcdefgh ", k=3 << 20))
+    docs = spark.createDataFrame([(1, head), (2, body[: 2 << 20] + head + body[2 << 20 :])], "doc_id long, text string")
+    found = {r._row.doc_id: [(s.start, s.end) for s in r.spans] for r in repeats.remove_repeats(docs).collect()}
+    assert found == {1: [], 2: [(2 << 20, (2 << 20) + 300)]}
