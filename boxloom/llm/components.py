@@ -28,5 +28,6 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         scratch.drop(f"{name}-{turn}")
         labels, turn = new.select("id", "comp"), turn + 1
         if not changed:
-            scratch.drop(f"{name}-links")
+            labels = scratch.keep(labels, name)
+            scratch.drop(f"{name}-links", f"{name}-{turn}")
             return labels
