@@ -47,12 +47,32 @@ def yolo(box: Box, width: Column, height: Column) -> dict[str, Column]:
     return {k: F.when(ok, v) for k, v in form.items()}
 
 
+def lenient_yolo(box: Box, width: Column, height: Column) -> dict[str, Column]:
+    """Centre form of corners, its centre clipped to the image and its size capped at 1; null where the box has no size."""
+    w, h = (box[2] - box[0]) / width, (box[3] - box[1]) / height
+    one, zero = F.lit(1.0), F.lit(0.0)
+    ok = (w > 0) & (h > 0)
+    form = {"cx": F.greatest(zero, F.least(one, (box[0] + box[2]) / 2 / width)), "cy": F.greatest(zero, F.least(one, (box[1] + box[3]) / 2 / height)), "w": F.least(one, w), "h": F.least(one, h)}
+    return {k: F.when(ok, v) for k, v in form.items()}
+
+
 def from_yolo(cx: Column, cy: Column, w: Column, h: Column, width: Column, height: Column) -> Box:
     return (cx - w / 2) * width, (cy - h / 2) * height, (cx + w / 2) * width, (cy + h / 2) * height
 
 
-def flip(box: Box, width: Column) -> Box:
-    return width - box[2], box[1], width - box[0], box[3]
+def flip(box: Box, size: Column, vertical: bool = False) -> Box:
+    """Mirrored across the image's middle; size: its width, or height."""
+    if vertical:
+        return box[0], size - box[3], box[2], size - box[1]
+    return size - box[2], box[1], size - box[0], box[3]
+
+
+def centre(x: Column, y: Column, w: Column, h: Column) -> tuple[Column, Column, Column, Column]:
+    return x + w / 2, y + h / 2, w, h
+
+
+def from_centre(cx: Column, cy: Column, w: Column, h: Column) -> tuple[Column, Column, Column, Column]:
+    return cx - w / 2, cy - h / 2, w, h
 
 
 def letterbox(box: Box, width: Column, height: Column, size: float) -> Box:

@@ -101,3 +101,27 @@ def group_split(groups: DataFrame, key: str, seed: int, train: float = 0.8) -> D
     rest = F.ceil(F.col("n") * (10 - round(train * 10)) / 10)
     cut = F.when(rank > rest, "train").when(rank > F.ceil(rest / 2), "val").otherwise("test")
     return n.select("key", cut.alias("split"))
+
+
+def orphans(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys the known rows don't have."""
+    return rows.join(known.select(*keys).distinct(), keys, "left_anti")
+
+
+def difference(left: DataFrame, right: DataFrame, key: str, only_left: str, only_right: str) -> DataFrame:
+    """Keys that only one side has, with a name for the side that lacks them."""
+    a = left.join(right, key, "left_anti").select(key, F.lit(only_left).alias("side"))
+    return a.union(right.join(left, key, "left_anti").select(key, F.lit(only_right).alias("side")).distinct())
+
+
+def class_sizes(objects: DataFrame, classes: DataFrame, all_objects: DataFrame) -> DataFrame:
+    """(category_id, w, h): the median box size of each class, else that of all objects."""
+    own = objects.groupBy("category_id").agg(F.median("bbox_w").alias("w"), F.median("bbox_h").alias("h"))
+    one = all_objects.agg(F.median("bbox_w").alias("all_w"), F.median("bbox_h").alias("all_h"))
+    both = classes.join(own, "category_id", "left").crossJoin(F.broadcast(one))
+    return both.select("category_id", F.coalesce("w", "all_w").alias("w"), F.coalesce("h", "all_h").alias("h"))
+
+
+def named(rows: DataFrame, names: DataFrame, key: str, default: str) -> DataFrame:
+    """Adds the name of each row's class; a class without one has the default."""
+    return rows.join(names.select(key, "name"), key, "left").withColumn("name", F.coalesce("name", F.lit(default)))

@@ -44,6 +44,15 @@ def pr_curve(pred: DataFrame, gt: DataFrame, thresholds=range(10)) -> DataFrame:
     return out.withColumns({"recall": F.col("ctp") / F.col("n_gt"), "precision": F.col("ctp") / F.col("rank")})
 
 
+def precision_recall(pred: DataFrame, gt: DataFrame, thr: int = 0) -> DataFrame:
+    """(model, tp, fp, precision, recall) at one threshold; predictions of classes without ground truth don't count."""
+    classes = gt.select("class_id").distinct()
+    flags = tp_flags(pred, gt, [thr]).join(classes, "class_id")
+    n, tp = F.count(F.lit(1)), F.sum("tp")
+    own = flags.groupBy("model").agg(tp.alias("tp"), (n - tp).alias("fp"), F.round(tp / F.greatest(n, F.lit(1)), 6).alias("precision"))
+    return own.crossJoin(F.broadcast(gt.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_n")))).withColumn("recall", F.round(F.col("tp") / F.col("_n"), 6)).drop("_n")
+
+
 def average_precision(pred: DataFrame, gt: DataFrame, thresholds=range(10)) -> DataFrame:
     """(model, class_id, thr, ap): 101-point interpolation of the precision envelope, trapezoids between points.
 
@@ -73,6 +82,41 @@ def average_precision(pred: DataFrame, gt: DataFrame, thresholds=range(10)) -> D
     return every.join(ap, keys, "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
+def require_thresholds(ap: DataFrame, n: int = 10) -> None:
+    """The AP table of a model has exactly n thresholds."""
+    bad = ap.groupBy("model").agg(F.count_distinct("thr").alias("n")).where(F.col("n") != n).collect()
+    if bad:
+        raise ValueError(f"thresholds: {bad}")
+
+
+def class_table(ap: DataFrame, names: DataFrame) -> DataFrame:
+    """(model, class_id, name, ap50, ap50_95): the AP of each class with its name, else its id as text."""
+    own = ap.groupBy("model", "class_id").agg(F.round(F.avg(F.when(F.col("thr") == 0, F.col("ap"))), 6).alias("ap50"), F.round(F.avg("ap"), 6).alias("ap50_95"))
+    both = own.join(F.broadcast(names.select("class_id", "name")), "class_id", "left")
+    return both.select("model", "class_id", F.coalesce("name", F.col("class_id").cast("string")).alias("name"), "ap50", "ap50_95")
+
+
+def compare_models(*tables: DataFrame) -> DataFrame:
+    """Metric tables of several runs below each other."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def evaluate_fusion(pred: DataFrame, gt: DataFrame, settings: list[dict]) -> DataFrame:
+    """One row of mean average precision for each fusion setting (iou, skip, least), best first.
+
+    Settings are few parameters of whole runs, so their plans are united.
+    """
+    rows = []
+    for k, how in enumerate(settings):
+        fused = fuse(pred, **how).withColumn("model", F.lit(f"fused{k}"))
+        row = map_summary(average_precision(fused, gt))
+        rows.append(row.withColumns({n: F.lit(float(how.get(n, d))) for n, d in (("iou", 0.55), ("skip", 0.05), ("least", 0.05))}))
+    return compare_models(*rows).orderBy(F.desc("map50_95"), "model")
+
+
 def map_summary(ap: DataFrame) -> DataFrame:
     """Mean average precision at 0.5, over 0.5-0.95 and over 0.75-0.95 of each model."""
     at = lambda test: F.round(F.avg(F.when(test, F.col("ap"))), 6)
@@ -86,6 +130,19 @@ def top_k(pred: DataFrame, k: int = 4) -> DataFrame:
     return out.where(F.col("rank") <= k)
 
 
+def normalized(pred: DataFrame, width: str = "image_width", height: str = "image_height") -> DataFrame:
+    """Boxes as shares of the image, clipped to it; those without an area there go."""
+    side = {"x1": width, "y1": height, "x2": width, "y2": height}
+    share = {c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / F.col(w))) for c, w in side.items()}
+    return pred.withColumns(share).where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+
+
+def restored(boxes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Shares back to pixels, with image sizes (image_id, image_width, image_height)."""
+    both = boxes.join(sizes, "image_id")
+    return both.withColumns({c: F.col(c) * F.col("image_width" if c[0] == "x" else "image_height") for c in XYXY}).drop("image_width", "image_height")
+
+
 def _iou(a, b) -> float:
     wide, high = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     if wide <= 0 or high <= 0:
@@ -159,14 +216,14 @@ def exclusive_matches(pred: DataFrame, gt: DataFrame, least: float = 0.75) -> Da
     """Greedy one-to-one matching by score: each ground truth is used once; wrong ones report their best overlap."""
 
     def matched(key, rows):
-        used, out = set(), []
+        used, out = {}, []
         truth = sorted((r["idx"], tuple(r[c] for c in XYXY)) for r in rows if r["model"] is None)
         for p in sorted((r for r in rows if r["model"] is not None), key=lambda r: (r["model"], -r["score"], r["idx"])):
-            mine = {i for m, i in used if m == p["model"]}
+            mine = used.setdefault(p["model"], set())
             found = [(v, -i) for i, b in truth if i not in mine and (v := _iou(b, tuple(p[c] for c in XYXY))) > 0]
             best, at = max(found, default=(0.0, None))
             if best >= least:
-                used.add((p["model"], -at))
+                mine.add(-at)
             out.append((p["model"], *key, p["idx"], -at if best >= least else None, best, best >= least))
         return out
 

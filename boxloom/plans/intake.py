@@ -63,11 +63,6 @@ def _(t):
     return told.join(held, "image_id").where("told <> held").select("image_id")
 
 
-@query("json_per_image_check", sql="SELECT image_id, count(DISTINCT category_id) AS expected, count(*) AS found FROM ann GROUP BY 1 HAVING count(DISTINCT category_id) <> count(*)")
-def _(t):
-    return t.ann.groupBy("image_id").agg(F.countDistinct("category_id").alias("expected"), F.count(F.lit(1)).alias("found")).where("expected <> found")
-
-
 @query("pill_id", sql="SELECT annotation_id, lpad(cast(category_id AS varchar), 6, '0') AS pill FROM ann")
 def _(t):
     index = F.when(F.col("line") > 3, F.col("category_id"))
@@ -117,13 +112,6 @@ def _(t):
     return t.img.join(t.ann, "image_id", "left_semi").select("image_id")
 
 
-@query("image_label_parity", "ann img", "SELECT count(*) AS images, count(a.image_id) AS labels, count(*) - count(a.image_id) AS unlabelled FROM img LEFT JOIN (SELECT DISTINCT image_id FROM ann) a ON a.image_id = img.image_id")
-def _(t):
-    labels = t.ann.select("image_id", F.lit(1).alias("has")).distinct()
-    both = t.img.select("image_id").join(labels, "image_id", "left")
-    return both.agg(F.count(F.lit(1)).alias("images"), F.count("has").alias("labels"), F.count_if(F.col("has").isNull()).alias("unlabelled"))
-
-
 @query("sample_summary", sql="SELECT image_id, count(*) AS objects, array_to_string(list_sort(list(annotation_id)), ',') AS annotations FROM ann GROUP BY 1")
 def _(t):
     return t.ann.groupBy("image_id").agg(F.count(F.lit(1)).alias("objects"), F.array_join(F.array_sort(F.collect_list("annotation_id")), ",").alias("annotations"))
@@ -142,12 +130,6 @@ def _(t):
     return t.img.orderBy("image_id").limit(20).select("image_id")
 
 
-@query("pascal_to_yolo", sql="SELECT annotation_id, greatest(0, least(1, (bbox_x + bbox_w / 2) / image_width)) AS cx, least(1, bbox_w / image_width) AS w FROM ann WHERE bbox_w > 0 AND bbox_h > 0")
-def _(t):
-    cx, w = (F.col("bbox_x") + F.col("bbox_w") / 2) / F.col("image_width"), F.col("bbox_w") / F.col("image_width")
-    return t.ann.where("bbox_w > 0 and bbox_h > 0").select("annotation_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), cx)).alias("cx"), F.least(F.lit(1.0), w).alias("w"))
-
-
 @query("post_transform_area", sql="SELECT annotation_id, greatest(least(bbox_x + bbox_w, image_width) - bbox_x, 0) * greatest(least(bbox_y + bbox_h, image_height) - bbox_y, 0) AS area FROM ann")
 def _(t):
     box = bx.corners(*bx.cols("bbox_x", "bbox_y", "bbox_w", "bbox_h"))
@@ -159,9 +141,3 @@ def _(t):
     sides = [t.gt.select("image_id", F.col("obj_idx").alias(s), *[F.col(c).alias(s + c) for c in ("x1", "y1", "x2", "y2")]) for s in "ab"]
     box = {s: bx.cols(*[s + c for c in ("x1", "y1", "x2", "y2")]) for s in "ab"}
     return sides[0].join(sides[1], "image_id").where("a < b").select("image_id", "a", "b", F.round(bx.iou(box["a"], box["b"]), 6).alias("iou"))
-
-
-@query("augment_union", sql="SELECT kind, count(*) AS n FROM (SELECT 'orig' AS kind FROM ann UNION ALL SELECT 'aug' FROM ann WHERE flag = 'R') GROUP BY 1")
-def _(t):
-    kinds = t.ann.select(F.lit("orig").alias("kind")).unionByName(t.ann.where("flag = 'R'").select(F.lit("aug").alias("kind")))
-    return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from boxloom.plans import catalog, intake  # noqa: F401  intake adds its queries to the catalog
+from boxloom.plans import catalog, dataset, intake  # noqa: F401  the others add their queries to the catalog
 
 
 def queries() -> dict[str, Callable]:

@@ -14,9 +14,9 @@ UNKNOWN = "Unknown"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """All JSON files below a folder, one row each, with their path."""
+    """All JSON files below a folder, one row each, with their path; sorted by it."""
     files = spark.read.schema(DOCUMENT).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    return files.withColumn("json_path", F.col("_metadata.file_path"))
+    return files.withColumn("json_path", F.col("_metadata.file_path")).orderBy("json_path")
 
 
 def parse_documents(df: DataFrame, text: str) -> DataFrame:

@@ -21,6 +21,7 @@ SELECT l.l_orderkey AS image_id, l.obj_idx, l.l_orderkey * 100 + l.obj_idx AS an
   l.l_quantity * 6 * (40 + (l.l_partkey * 17 + l.l_suppkey) % 260)
     + CASE WHEN l.disc = 0 THEN 7 ELSE 0 END AS area,
   cast(CASE l.l_linenumber % 3 WHEN 0 THEN 70 WHEN 1 THEN 75 ELSE 90 END AS bigint) AS camera_la,
+  CASE WHEN l.l_suppkey % 7 = 0 THEN NULL ELSE cast(l.l_suppkey % 3 AS bigint) END AS camera_lo,
   p.p_type AS drug_shape, p.p_brand AS color_class1,
   CASE l.l_returnflag WHEN 'R' THEN NULL WHEN 'A' THEN '' ELSE p.p_name END AS print_front,
   l.l_linestatus AS drug_dir, l.l_returnflag AS flag, cast(l.l_linenumber AS bigint) AS line,
