@@ -2,65 +2,73 @@
 
 All rolling word 3-grams of a text that occur in any template are joined with their
 template positions. A hit votes for its diagonal (place in the text minus place in the
-template); neighbouring diagonals, as insertions and omissions make them, are merged; a
-merged span is verified by the share of the template's words that its hits confirm.
+template). From the diagonal with most votes on, its neighbours, as insertions and omissions
+make them, are merged with it. A merged span is verified by alignment: the longest run of its
+hits that ascends in text and template must confirm a share of the words of both, and, where
+another license has nearly the same notice, most of the words that tell the two apart. Of
+spans that overlap the one that confirms most words stays.
 
 Words are runs of digits, letters a to z and non-ASCII characters, after lower-casing A-Z.
-The template table is a constant of a few hundred rows and is broadcast; hits of a
-document are joined and voted where they are, and only spans are shuffled.
+The template table is a parameter; it is read on the driver and its grams are broadcast, so
+it should be a table of notices, not of documents. Texts are hashed whole, grams that no
+template holds are dropped at once, and the rest meet the templates in a join.
 
 Null and empty texts have no words and no labels (first_word, last_word null, score 0).
-Rows that repeat an id are scanned each. Other columns aren't read.
+Very long texts are hashed in blocks of their own. Rows that repeat an id are scanned each.
+Equal votes go to the smaller diagonal, equal spans to the smaller label. Empty tables give
+no rows. Other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from difflib import SequenceMatcher
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.llm.common import ALNUM_WORD, Scratch, blocks, shingles, sliced, words_of
+from boxloom.llm.license_texts import TEMPLATES
 
 GRAM = 3
-#: Diagonals this far apart belong to one span.
+#: Diagonals this far from the one with most votes belong to its span, at most a quarter of the template's words.
 DRIFT = 3
-#: Share of a template's words that a span must confirm.
+#: Share of its own and of the template's words that a span must confirm.
 LEAST = 0.75
+#: Notices of different licenses are nearly the same from this similarity on.
+CLOSE = 0.6
 
 #: Phrases that are always labelled where their words stand consecutively.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-#: Notices of public licenses, as (label, words).
-TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("reserved", "all rights reserved"),
-]
-
 
 def _hashes(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), np.uint8)
     return words_of(raw, np.array([0, len(raw)]), ALNUM_WORD)[0]
 
 
-def template_grams(spark: SparkSession, templates=None) -> DataFrame:
-    """(gram, template, label, at, words): every 3-gram of every template."""
-    rows = []
-    for t, (label, text) in enumerate(templates or TEMPLATES):
-        grams = shingles(_hashes(text), GRAM).view(np.int64).tolist()
-        rows += [(g, t, label, at, len(grams) + GRAM - 1) for at, g in enumerate(grams)]
-    return spark.createDataFrame(rows, "gram long, template int, label string, at int, words int")
+def template_grams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
+    """(gram, template, at): every 3-gram of every template."""
+    rows = [(g, t, at) for t, (_, text) in enumerate(templates) for at, g in enumerate(shingles(_hashes(text), GRAM).view(np.int64).tolist())]
+    return spark.createDataFrame(rows, "gram long, template int, at int")
+
+
+def telling(templates) -> list[tuple[str, int, list[set[int]]]]:
+    """(label, words, places) of each template; places: for each close template of another label, the words it lacks."""
+    words = [_hashes(text).tolist() for _, text in templates]
+    out = []
+    for (label, _), own in zip(templates, words):
+        apart = []
+        for (other, _), theirs in zip(templates, words):
+            if other != label:
+                same = SequenceMatcher(None, own, theirs, autojunk=False)
+                if same.ratio() >= CLOSE:
+                    lacks = set(range(len(own))) - {i for m in same.get_matching_blocks() for i in range(m.a, m.a + m.size)}
+                    apart += [lacks] if lacks else []
+        out.append((label, len(own), apart))
+    return out
 
 
 _SCHEMA = (
@@ -103,38 +111,83 @@ def _scan(templates):
     return run
 
 
-def spans(hits: DataFrame, grams: DataFrame, least: float = LEAST) -> DataFrame:
-    """(key, label, start, end, votes, share): verified spans of hits (key, pos, gram)."""
+def ascending(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of (place in the text, place in the template) that ascends in both."""
+    tails, ends, back = [], [], {}
+    for pos, at in sorted(hits, key=lambda h: (h[0], -h[1])):
+        i = bisect_left(tails, at)
+        back[pos, at] = ends[i - 1] if i else None
+        tails[i:], ends[i:] = ([at], [(pos, at)]) if i == len(tails) else ([at, *tails[i + 1 :]], [(pos, at), *ends[i + 1 :]])
+    out, step = [], ends[-1] if ends else None
+    while step:
+        out.append(step)
+        step = back[step]
+    return out[::-1]
+
+
+def verified(lines: list[tuple[int, int, list[int]]], known: list[tuple[str, int, list[set[int]]]], least: float) -> list[dict]:
+    """Spans of one text from (template, diagonal, places of its hits)."""
+    found = []
+    by: dict[int, dict[int, list[int]]] = {}
+    for template, diagonal, places in lines:
+        by.setdefault(template, {})[diagonal] = places
+    for template, own in by.items():
+        label, words, apart = known[template]
+        drift = min(DRIFT, words // 4)
+        for peak in sorted(own, key=lambda d: (-len(own[d]), d)):
+            near = [d for d in range(peak - drift, peak + drift + 1) if d in own]
+            if peak not in own or GRAM * sum(len(own[d]) for d in near) < least * words:
+                continue
+            run = ascending([(p, p - d) for d in near for p in own[d]])
+            sure = {at + k for _, at in run for k in range(GRAM)}
+            start, end = run[0][0], run[-1][0] + GRAM
+            share = len(sure) / max(words, end - start)
+            if share >= least and all(2 * len(lacks & sure) >= len(lacks) for lacks in apart):
+                found.append({"start": start, "end": end, "label": label, "share": share, "words": len(sure)})
+                for d in near:
+                    del own[d]
+    kept: list[dict] = []
+    for s in sorted(found, key=lambda s: (-s["words"], -s["share"], s["label"], s["start"])):
+        if all(2 * (min(s["end"], k["end"]) - max(s["start"], k["start"])) <= s["end"] - s["start"] for k in kept):
+            kept.append(s)
+    return sorted(kept, key=lambda s: (s["start"], s["end"], s["label"]))
+
+
+_SPAN = "start long, end long, label string, share double, words long"
+
+
+def _verify(known, least: float):
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("share", pa.float64()), ("words", pa.int64())]))
+
+    def run(batches):
+        for batch in batches:
+            spans = [verified([(x["template"], x["diagonal"], sorted(x["places"])) for x in lines], known, least) for lines in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["key", "spans"])
+
+    return run
+
+
+def spans(hits: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
+    """(key, spans): verified spans of hits (key, pos, gram), for keys that have any."""
+    grams = template_grams(hits.sparkSession, templates)
     votes = hits.join(F.broadcast(grams), "gram").withColumn("diagonal", F.col("pos") - F.col("at"))
-    lines = votes.groupBy("key", "template", "label", "words", "diagonal").agg(
-        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("start"), F.max("pos").alias("end"), F.collect_set("at").alias("at")
-    )
-    order = Window.partitionBy("key", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT, F.lit(True))
-    lines = lines.withColumn("span", F.sum(apart.cast("int")).over(order))
-    merged = lines.groupBy("key", "template", "label", "words", "span").agg(
-        F.sum("votes").alias("votes"), F.min("start").alias("start"), (F.max("end") + GRAM).alias("end"), F.flatten(F.collect_list("at")).alias("at")
-    )
-    sure = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x, x + GRAM - 1))))
-    merged = merged.withColumn("share", F.size(sure) / F.col("words"))
-    return merged.where(F.col("share") >= least).select("key", "label", "start", "end", "votes", "share")
-
-
-def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=None) -> DataFrame:
+    lines = votes.groupBy("key", "template", "diagonal").agg(F.collect_set("pos").alias("places"))
+    texts = lines.groupBy("key").agg(F.collect_list(F.struct("template", "diagonal", "places")).alias("lines"))
+    return texts.mapInArrow(sliced(_verify(telling(templates), least)), f"key long, spans array<struct<{_SPAN.replace(' ', ':').replace(',:', ', ')}>>").where(F.size("spans") > 0)
+
+
+def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """One row per input row: id, n_words, base places and labels, all labels, score and spans."""
     spark = docs.sparkSession
-    templates = templates or TEMPLATES
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = pairs.mapInArrow(sliced(_scan(templates)), _SCHEMA).withColumn("key", F.monotonically_increasing_id())
     found = Scratch(spark, "licenses").keep(found, "scanned")
     hits = found.select("key", F.explode("hits").alias("hit")).select("key", "hit.pos", "hit.gram")
-    sure = spans(hits, template_grams(spark, templates)).groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "label", "share"))).alias("spans"), F.max("share").alias("share")
-    )
-    out = found.drop("hits").join(sure, "key", "left")
-    both = F.array_sort(F.array_distinct(F.concat("base", F.coalesce(F.transform("spans", lambda s: s["label"]), F.array().cast("array<string>")))))
-    score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0)))
+    out = found.drop("hits").join(spans(hits, templates, least), "key", "left")
+    own = F.coalesce(F.transform("spans", lambda s: s["label"]), F.array().cast("array<string>"))
+    both = F.array_sort(F.array_distinct(F.concat("base", own)))
+    share = F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0))
     return out.select(
-        "id", "n_words", "n_base", "first_word", "last_word",
-        F.array_join("base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), score.alias("score"), "spans",
+        "id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
+        F.array_join(both, ",").alias("labels"), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(share).alias("score"), "spans",
     )

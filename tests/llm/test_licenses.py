@@ -1,3 +1,4 @@
+import random
 import re
 
 from boxloom.llm import licenses
@@ -34,3 +35,61 @@ def test_scan(spark):
     assert [(s.start, s.end) for s in by[5].spans] == [(50, 55)]
     assert by[6].spans[0].start == 0 and by[6].spans[0].end == len(re.findall(WORD, ROWS[5][1].lower()))
     assert licenses.license_scan(docs.limit(0)).count() == 0
+
+
+GPL = (
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+    "Foundation; either version 2 of the License, or (at your option) any later version."
+)
+
+
+def labels_of(spark, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.labels for r in sorted(licenses.license_scan(docs).collect(), key=lambda r: r.id)]
+
+
+def test_verified_labels(spark):
+    lgpl = GPL.replace("This program", "This library").replace("GNU General", "GNU Lesser General").replace("version 2 ", "version 2.1 ")
+    agpl = GPL.replace("GNU General", "GNU Affero General").replace("version 2 ", "version 3 ")
+    words = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files".split()
+    turned = " ".join(words[10:] + words[:10])
+    texts = {
+        GPL: "gpl", lgpl: "gpl,lgpl", agpl: "agpl,gpl",  # the base phrase labels both
+        "released under the big, under the MIT roof, the mit license": "",
+        turned: "", "pre " * 9 + " ".join(words) + " post" * 9: "mit", " ".join(words[:5] + ["quite", "really"] + words[5:]): "mit",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "all rights reserved " * 50: "reserved", "x " * 200_000 + "Released under the MIT License": "mit",
+    }
+    assert labels_of(spark, *texts) == list(texts.values())
+
+
+def test_labels_against_brute_force(spark):
+    """Every window of every text, aligned with every template word by word."""
+    rng = random.Random(4)
+    filler = [f"w{i}" for i in range(50)]
+    texts = []
+    for _ in range(40):
+        label, notice = rng.choice(licenses.TEMPLATES)
+        words = re.findall(WORD, notice.lower())
+        for _ in range(rng.choice([0, 0, 1, 2, 6])):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(filler)) if rng.random() < 0.5 else words.pop(rng.randrange(len(words)))
+        texts.append(" ".join(rng.choices(filler, k=rng.randrange(30)) + words + rng.choices(filler, k=rng.randrange(30))))
+    known = licenses.telling(licenses.TEMPLATES)
+    want = []
+    for text in texts:
+        words, found = text.split(), []
+        for t, (_, notice) in enumerate(licenses.TEMPLATES):
+            own = re.findall(WORD, notice.lower())
+            grams = {}
+            for at in range(len(own) - 2):
+                grams.setdefault(tuple(own[at : at + 3]), []).append(at)
+            lines = {}
+            for pos in range(len(words) - 2):
+                for at in grams.get(tuple(words[pos : pos + 3]), []):
+                    lines.setdefault(pos - at, []).append(pos)
+            found += [(t, d, p) for d, p in lines.items()]
+        base = {label for label, phrase in licenses.PHRASES.items() if f" {phrase} " in f" {text} "}
+        want.append(",".join(sorted({s["label"] for s in licenses.verified(found, known, licenses.LEAST)} | base)))
+    assert labels_of(spark, *texts) == want
+    assert sum(bool(w) for w in want) >= 25
