@@ -1,32 +1,39 @@
 """Main text of web pages with a site style tree.
 
 Pages are parsed to blocks of text, each under a path of elements (tag, id, classes). The
-pages of a host are merged: a path holds, over all its host's pages, how its content
-features (block texts) and the styles below it (tags of its blocks) are spread. A content
-node counts as important as its features are rare (one less their entropy over the pages);
-a presentation node as its styles vary (their entropy); the two are combined with a damping
-factor, and branches below a threshold are removed from pages that hold them.
-
-What the markup itself declares comes first: menus, headers, footers, asides, forms,
+pages of a host are merged into one tree: a branch holds, over all its host's pages, how the
+content features (block texts) below it are spread, and in which presentations (sequences of
+blocks below it) it appears. A feature's importance is one less its entropy over the branch's
+pages, so that what every page repeats has none; a branch's content importance is the mean
+over all that stands below it, and its presentation importance the entropy of its presentations,
+both scaled by the logarithm of its pages. The two are combined with a damping factor, and a
+branch below a threshold is removed from every page with all it holds; branches around an
+article or main element stay. On every page the tree judges all blocks.
+
+The markup's own declarations are the tree's prior: menus, headers, footers, asides, forms,
 scripts, and branches whose class, id or role is a word for an advert, comment section and
-the like are dropped, but no article or main element for the name of a branch around it; where a page has an article or main element, only what is in it can
-be main text. The tree then judges the blocks that are left on every page. Pages of a host
-with the same blocks count once in it, as copies of a page don't show what the site repeats.
+the like have no importance, but no article or main element for the name of a branch around
+it; where a page has an article or main element, only what is in it can be main text.
+
+An entropy over one or two pages tells nothing: on hosts with fewer than SUPPORT different
+pages the prior alone decides. Pages of a host with the same blocks count once in the tree,
+as copies of a page don't show what the site repeats.
 
 Character references are decoded, white space in a block becomes one blank, blocks are
-joined by a line feed in page order. Null and empty pages have the empty text. Rows that
-repeat a page are extracted each; null urls form one host. Hosts are never gathered in one
-task: features are counted by (host, path, feature).
+joined by a line feed in page order. Null and empty pages have the empty text. Very long
+pages are parsed whole. Rows that repeat a page are extracted each; null urls form one host.
+Empty tables give no rows; columns of other names aren't read and can't clash. Hosts are
+never gathered in one task: features are counted by (host, branch, feature).
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm.common import Scratch, sliced
@@ -35,19 +42,23 @@ from boxloom.llm.common import Scratch, sliced
 LEAST = 0.2
 #: Weight of the content against the presentation.
 DAMPING = 0.9
-#: Pages of a host that must hold a path before the tree may remove it.
+#: Different pages of a host that must hold a branch before the tree may remove it.
 SUPPORT = 3
 
 #: Elements that never hold main text.
 NOISE = set("nav header footer aside form button select option menu dialog fieldset label input".split())
 #: Elements whose content isn't text of the page.
-RAW = "script|style|noscript|template|iframe|svg|textarea|title|object|canvas|math"
+RAW = set("script style noscript template iframe svg textarea title object canvas math".split())
 #: Words in a class, id or role that name a branch without main text.
-NAMES = re.compile(
-    r"(?<!\S)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|"
-    r"sidebar|widget|related|recommend\w*|comments?|repl(?:y|ies)|disqus|share|social|breadcrumbs?|pagination|pager|menu|nav\w*|"
-    r"footer|masthead|toolbar|login|search|contentinfo|complementary)(?!\S)",
-    re.I,
+NAMES = set(
+    "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments complementary "
+    "consent contentinfo cookie cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice overlay "
+    "pager pagination popup promo promotion recommendations recommended related replies reply search share sharing sidebar social "
+    "sponsor sponsored sponsors subscribe subscription toolbar widget "
+    "ad-banner ad-container ad-slot ad-wrapper comment-form comment-list comments-area comments-section cookie-banner cookie-bar "
+    "cookie-consent cookie-notice left-sidebar main-menu main-nav newsletter-signup page-footer page-header post-comments "
+    "reader-comments related-articles related-posts right-sidebar search-form share-buttons side-bar sidebar-left sidebar-right "
+    "site-footer site-header site-menu site-nav skip-link social-links social-share sponsored-content top-bar top-nav user-comments".split()
 )
 #: Of these words, those that also name parts of an article; inside one, the tree judges them.
 DOUBTFUL = set("banner login menu notice overlay search toolbar".split())
@@ -59,7 +70,10 @@ BLOCKS = set(
     "legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
-_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({RAW})\b.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S | re.I)
+#: A comment, a tag with its name and what stands behind it (a ">" in a quoted value doesn't end it), or a declaration.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*))(?:>|$)|<[!?/][^>]*(?:>|$)""", re.S
+)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://([^/?#]*)", re.I)
 
@@ -70,8 +84,8 @@ def named_noise(tag: str, attributes: list[tuple[str, str]], inside: bool) -> bo
         return False
     if inside and tag == "section":
         attributes = [a for a in attributes if a[0] != "id"]
-    words = " ".join(v for _, v in attributes).split()
-    return any(NAMES.search(w) and not (inside and w.lower() in DOUBTFUL) for w in words)
+    words = " ".join(v for _, v in attributes).lower().split()
+    return any(w in NAMES and not (inside and w in DOUBTFUL) for w in words)
 
 
 def parse(page: str) -> tuple[bool, list[tuple[str, str, bool, bool]]]:
@@ -88,14 +102,27 @@ def parse(page: str) -> tuple[bool, list[tuple[str, str, bool, bool]]]:
     def pop(n):
         del stack[n:]
 
-    for token in _TOKEN.finditer(page):
+    pos, open_ended = 0, set()
+    while token := _TOKEN.search(page, pos):
+        pos = token.end()
         if token.start() > at:
             text.append(page[at : token.start()])
-        at = token.end()
-        tag = (token[3] or "").lower()
+        at = pos
+        tag = (token[2] or "").lower()
         if not tag:
             continue
-        if token[2]:
+        closed = token[3].endswith("/")
+        if tag in RAW and not token[1]:
+            # its content goes with it; without an end, a script goes to the end of the page, any other only as a tag
+            end = None if closed or tag in open_ended else re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
+            if end:
+                pos = at = end.end()
+            elif not closed and tag in ("script", "style"):
+                pos = at = len(page)
+            else:
+                open_ended.add(tag)
+            continue
+        if token[1]:
             if tag in BLOCKS:
                 flush()
             for n in range(len(stack) - 1, -1, -1):
@@ -118,9 +145,9 @@ def parse(page: str) -> tuple[bool, list[tuple[str, str, bool, bool]]]:
                     break
                 if stack[n][0] in BLOCKS:
                     break
-        if token[4].endswith("/"):
+        if closed:
             continue
-        attributes = [(k.lower(), a or b or c) for k, a, b, c in _NAMED.findall(token[4])] if token[4].strip() else []
+        attributes = [(k.lower(), a or b or c) for k, a, b, c in _NAMED.findall(token[3])] if token[3].strip() else []
         named = " ".join(v for _, v in attributes)
         above = stack[-1] if stack else ("", "", False, False, False)
         main = above[3] or tag in ("article", "main")
@@ -128,68 +155,94 @@ def parse(page: str) -> tuple[bool, list[tuple[str, str, bool, bool]]]:
         # what names say of a branch doesn't hold for the article or main element in it
         noise = element or (above[2] and (above[3] or not main)) or named_noise(tag, attributes, above[3])
         has_main |= main and not noise
-        stack.append((tag, tag + ("." + ".".join(sorted(named.lower().split())) if named else ""), noise, main, element))
+        stack.append((tag, tag + ("." + ".".join(sorted(named.lower().replace(">", "").split())) if named else ""), noise, main, element))
     text.append(page[at:])
     flush()
     return has_main, out
 
 
+def _code(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
 _SCHEMA = (
-    "page_id long, url string, host string, sum long, "
-    "nodes array<struct<path: string, style: string, feature: bigint>>, blocks array<string>"
+    "page_id long, url string, host string, sum long, blocks array<string>, declared array<boolean>, main boolean, chains array<array<bigint>>, "
+    "branches array<struct<branch: bigint, style: bigint, around: boolean, features: array<struct<feature: bigint, n: bigint>>>>"
 )
+_ONE = pa.struct([("feature", pa.int64()), ("n", pa.int64())])
+_KINDS = [
+    pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.bool_(), pa.list_(pa.list_(pa.int64())),
+    pa.list_(pa.struct([("branch", pa.int64()), ("style", pa.int64()), ("around", pa.bool_()), ("features", pa.list_(_ONE))])),
+]
+
+
+def tree_of(page: str) -> tuple:
+    """(sum, blocks, declared, main, chains, branches) of a page: its blocks, which the markup declares to be no main text, the branches of each."""
+    main, found = parse(page)
+    chains, held, around = [], {}, set()
+    for path, text, _, _ in found:
+        steps = path.split(">") if path else []
+        tags = [s.partition(".")[0] for s in steps]
+        inner = max((i for i, t in enumerate(tags) if t in ("article", "main")), default=-1)
+        own = [(i, _code(">".join(steps[: i + 1]))) for i, t in enumerate(tags) if t not in ("html", "body")]
+        around.update(b for i, b in own if i <= inner)
+        chains.append([b for _, b in own])
+        feature = _code(text)
+        for i, b in own:
+            styles, features = held.setdefault(b, ([], {}))
+            styles.append(">".join(steps[i + 1 :]))
+            features[feature] = features.get(feature, 0) + 1
+    branches = [
+        {"branch": b, "style": _code("|".join(styles)), "around": b in around, "features": [{"feature": f, "n": n} for f, n in features.items()]}
+        for b, (styles, features) in held.items()
+    ]
+    declared = [noise or main and not inside for _, _, inside, noise in found]
+    return _code(repr([(p, t) for p, t, _, _ in found])), [t for _, t, _, _ in found], declared, main, chains, branches
 
 
 def _parsed(batches):
-    node = pa.struct([("path", pa.string()), ("style", pa.string()), ("feature", pa.int64())])
     for batch in batches:
-        hosts, sums, nodes, blocks = [], [], [], []
+        rows = []
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             found = _HOST.match(url or "")
-            hosts.append(found[1].lower() if found else "")
-            has_main, out = parse(page or "")
-            out = [b for b in out if not b[3]]
-            own = [b for b in out if b[2]] if has_main else out
-            steps = [(b[0].rpartition(">")[0], b[0].rpartition(">")[2], zlib.crc32(b[1].encode()) | len(b[1]) << 32) for b in own]
-            nodes.append([{"path": p, "style": s, "feature": f} for p, s, f in steps])
-            blocks.append([b[1] for b in own])
-            sums.append(zlib.crc32(repr(steps).encode()) | len(steps) << 32)
-        cols = [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(sums, pa.int64()), pa.array(nodes, pa.list_(node)), pa.array(blocks, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "host", "sum", "nodes", "blocks"])
-
-
-def importance(nodes: DataFrame) -> DataFrame:
-    """(host, path, style, pages, importance) from nodes (key, host, path, style, feature)."""
-    held = nodes.groupBy("host", "path", "style").agg(F.count_distinct("key").alias("pages"))
-    each = nodes.groupBy("host", "path", "style", "feature", "key").agg(F.count(F.lit(1)).alias("n"))
-    spread = each.groupBy("host", "path", "style", "feature").agg(
-        F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("part")
-    )
-    bits = F.log("all") - F.col("part") / F.col("all")
-    content = spread.groupBy("host", "path", "style").agg(F.avg(bits).alias("bits"))
-    total = Window.partitionBy("host", "path")
-    share = F.col("pages") / F.sum("pages").over(total)
-    styles = held.withColumn("share", share).withColumn("most", F.max("pages").over(total))
-    styles = styles.withColumn("spread", F.sum(-F.col("share") * F.log("share")).over(total))
-    both = styles.join(content, ["host", "path", "style"])
+            rows.append((found[1].lower() if found else "", *tree_of(page or "")))
+        cols = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(_KINDS), _KINDS)]
+        names = ["page_id", "url", "host", "sum", "blocks", "declared", "main", "chains", "branches"]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names)
+
+
+def importance(branches: DataFrame) -> DataFrame:
+    """(host, branch, pages, around, importance) from a row for each page and branch (host, branch, style, around, features)."""
+    keys = ["host", "branch"]
+    styles = branches.groupBy(*keys, "style").agg(F.count(F.lit(1)).alias("n"), F.max("around").alias("around"))
+    held = styles.groupBy(*keys).agg(F.sum("n").alias("pages"), F.max("around").alias("around"), F.sum(F.col("n") * F.log("n")).alias("part"))
+    each = branches.select(*keys, F.explode("features").alias("f")).select(*keys, "f.*")
+    spread = each.groupBy(*keys, "feature").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("part"))
+    content = spread.groupBy(*keys).agg((F.sum(F.col("all") * F.log("all") - F.col("part")) / F.sum("all")).alias("bits"))
     base = F.log(F.greatest("pages", F.lit(2)))
-    node = F.when(F.col("most") > 1, F.least(F.col("spread") / F.log(F.greatest("most", F.lit(2))), F.lit(1.0))).otherwise(F.lit(1.0))
-    leaf = F.when(F.col("pages") > 1, 1 - F.least(F.col("bits") / base, F.lit(1.0))).otherwise(F.lit(1.0))
-    return both.select("host", "path", "style", "pages", ((1 - DAMPING) * node + DAMPING * leaf).alias("importance"))
+    node = F.when(F.col("pages") > 1, F.least((F.log("pages") - F.col("part") / F.col("pages")) / base, F.lit(1.0))).otherwise(1.0)
+    leaf = F.when(F.col("pages") > 1, 1 - F.least(F.col("bits") / base, F.lit(1.0))).otherwise(1.0)
+    return held.join(content, keys).select(*keys, "pages", "around", ((1 - DAMPING) * node + DAMPING * leaf).alias("importance"))
+
 
+def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST, support: int = SUPPORT) -> DataFrame:
+    """One row per input row: page_id, url, text, n_chars, n_declared (blocks the markup rules out), n_removed (further blocks in branches the tree removes).
 
-def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST) -> DataFrame:
-    """One row per input row: page_id, url, text, n_chars, n_removed (blocks the tree removed)."""
+    Where the tree would take more than half of the text in a page's article or main element, that page keeps it.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     scratch = Scratch(pages.sparkSession, "pages")
     parsed = rows.mapInArrow(sliced(_parsed, 500), _SCHEMA).withColumn("key", F.monotonically_increasing_id())
     parsed = scratch.keep(parsed, "parsed")
-    nodes = parsed.select("key", "host", "sum", F.posexplode("nodes").alias("at", "node")).select("key", "host", "sum", "at", "node.*")
     once = parsed.groupBy("host", "sum").agg(F.min("key").alias("key")).select("key")
-    low = importance(nodes.join(once, "key", "left_semi")).where((F.col("importance") < least) & (F.col("pages") >= SUPPORT)).select("host", "path", "style")
-    gone = nodes.join(low, ["host", "path", "style"], "left_semi").groupBy("key").agg(F.collect_set("at").alias("gone"))
-    out = parsed.join(gone, "key", "left")
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.filter("blocks", lambda b, i: ~F.array_contains(gone, i))
-    out = out.select("page_id", "url", F.array_join(kept, "\n").alias("text"), F.size(gone).cast("long").alias("n_removed"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
+    branches = parsed.join(once, "key", "left_semi").select("host", F.explode("branches").alias("b")).select("host", "b.*")
+    low = importance(branches).where((F.col("importance") < least) & (F.col("pages") >= support) & ~F.col("around")).select("host", "branch")
+    held = parsed.select("key", "host", F.posexplode("chains").alias("at", "chain")).select("key", "host", "at", F.explode("chain").alias("branch"))
+    gone = held.join(low, ["host", "branch"], "left_semi").groupBy("key").agg(F.collect_set("at").alias("gone"))
+    out = parsed.join(gone, "key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    left = F.filter("blocks", lambda b, i: ~F.get("declared", i))
+    kept = F.filter("blocks", lambda b, i: ~F.get("declared", i) & ~F.array_contains("gone", i))
+    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + F.length(b))
+    out = out.withColumns({"left": left, "kept": kept}).withColumn("kept", F.when(F.col("main") & (2 * size("kept") < size("left")), F.col("left")).otherwise(F.col("kept")))
+    out = out.select("page_id", "url", F.array_join("kept", "\n").alias("text"), (F.size("blocks") - F.size("left")).alias("d"), (F.size("left") - F.size("kept")).alias("r"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.col("d").cast("long").alias("n_declared"), F.col("r").cast("long").alias("n_removed"))

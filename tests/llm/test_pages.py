@@ -54,3 +54,40 @@ def test_names():
     )
     assert text_of(page) == "Related\nMore\nFind\nNote\nTake care\nImpact"
     assert text_of("<main><nav><article>no</article></nav><p>yes</p></main>") == "yes"
+
+
+def test_parser_faults():
+    assert text_of("<p>a<svg-icon>b</svg-icon>c</p><title-card>d</title-card><p>e") == "abc\nd\ne"
+    assert text_of("<p>a<svg width='1'/>b<iframe src=x />c</p><p>d") == "abc\nd"
+    assert text_of('<p><a title="a > b" href=x>link</a> end</p>') == "link end"
+    assert text_of("<p>don't<b class=\"x>y\">bold</b> <i n='a\"b'>it's</i>") == "don'tbold it's"
+    assert text_of("<p>x</p><script>var a = '<p>no</p>'") == "x" and text_of("<p>x<noscript>y") == "xy"
+    for name in ("related-work", "naval-history", "comment-on-results", "widget-text"):
+        assert text_of(f"<div class='{name}'><p>Text</p></div>") == "Text"
+
+
+def test_branches_go_whole(spark):
+    """A teaser list differs a little on every page; its branch goes as one, menu and all."""
+
+    def page(i):
+        links = "".join(f"<li>Section {k}</li>" for k in range(8)) + f"<li>Page {i}</li>"
+        story = "".join(f"<p>Story {i} part {k} on {i * 31 + k}</p>" for k in range(5))
+        return f"<body><div class='q7'><ul>{links}</ul></div><div class='z2'>{story}</div></body>"
+
+    rows = [(i, "http://a.example/", page(i)) for i in range(9)] + [(20 + i, f"http://small{i % 5}.example/", page(i)) for i in range(10)]
+    got = {r.page_id: r for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].n_removed == 9 and got[i].text.startswith(f"Story {i} part 0") for i in range(9))
+    assert all(got[i].n_removed == 0 and got[i].text.startswith("Section 0") for i in range(20, 30))  # two pages tell nothing
+
+
+def test_near_copies_keep_their_article(spark):
+    body = "".join(f"<p>Paragraph {k} of the same story</p>" for k in range(20))
+    rows = [(i, "http://a.example/", f"<article>{body}<p>Only {i}</p></article>") for i in range(4)]
+    got = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text.count("\n") == 20 and r.n_removed == 0 for r in got)
+
+
+def test_very_long_page(spark):
+    rows = [(1, "http://a.example/", "<article>" + "<p>word " * 60_000 + "</article>" + "<title-x " * 20_000)]
+    row = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert row.text.count("word") == 60_000
