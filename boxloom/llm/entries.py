@@ -37,7 +37,7 @@ def site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
-    out = toxicity.classify(docs, _read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    out = toxicity.classify(docs, _read(spark, sf_dir, "labels", "doc_id", *toxicity.CATEGORIES))
     return out.withColumnRenamed("id", "doc_id")
 
 

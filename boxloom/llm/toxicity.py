@@ -1,28 +1,27 @@
 """Toxicity by a chain of linear classifiers.
 
-Categories are predicted one after the other: insult, contempt, threat, toxic. Each is a
-logistic model over hashed words (present or not); later models also see the earlier
-categories' log odds, in training those predicted out of fold, so that they learn from
-predictions as uncertain as the ones they will get.
-
-The labelled table marks toxic documents only. The three finer categories are derived for
-training: a toxic document that holds one of a category's seed words. Only training uses
-the seeds; the models weigh all words.
-
-Training takes at most SAMPLE labelled rows, those whose hashed id is smallest, and
-FEATURES hashed words, those whose presence tells most about the toxic label; both bounds are
-parameters. Scoring covers every row and whole texts in one narrow pass.
-
-Null and empty texts get the models' intercepts alone. Without labelled rows, or with one
-class, a category's probability is its share (0 without rows). Repeated rows are scored
-each. Labels of unknown ids and null labels are skipped; repeated labels count once (most
-toxic).
+The label table's columns are predicted one after the other, the toxic one last. Each model
+is logistic over hashed words (present or not); later ones also see the earlier categories'
+log odds, in training those predicted out of fold, so that they learn from predictions as
+uncertain as the ones they will get. A fold's predictions come from a model whose words were
+chosen on the other folds alone.
+
+Training takes at most ``sample`` labelled rows, those whose hashed id is smallest: a bound and
+a parameter. The models' size is a parameter too: at most ``features`` words, those whose
+presence tells most about the label and at least ``sure`` standard deviations. Scoring covers
+every row and whole texts in one narrow pass. ``report`` gives precision and recall of the
+out-of-fold predictions.
+
+Null, empty and very short texts get the models' intercepts alone; very long ones are hashed in
+blocks of their own. Without labelled rows, or with one class, a category's probability is its
+share (0 without rows). Repeated rows are scored each. Labels of unknown ids and null labels
+are skipped; repeated labels count once (the largest); where a labelled id has several texts,
+the first in text order is learned from. Ties between words go to the smaller hash. Empty
+tables give no rows. Other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 
 from boxloom.llm.common import ALNUM_WORD, blocks, sliced, words_of
 
+#: Defaults of the parameters: labelled rows to learn from, words of a model.
 SAMPLE = 20_000
 FEATURES = 4000
 #: Standard deviations by which a word's toxic share must differ for it to be used.
@@ -39,13 +39,8 @@ FOLDS = 4
 SEED = 17
 CUT = 0.5
 
-#: Seed words of the derived categories.
-SEEDS = {
-    "insult": "idiot moron clown loser fool stupid dumb jerk",
-    "contempt": "worthless scum trash pathetic garbage filth vermin disgusting",
-    "threat": "kill hurt destroy die beat burn hang",
-}
-CHAIN = [*SEEDS, "toxic"]
+#: Label columns in the chain's order.
+CATEGORIES = ("quality", "toxic")
 
 
 def _buckets(texts: pa.Array):
@@ -60,11 +55,7 @@ def _buckets(texts: pa.Array):
 def _sampled(batches):
     for batch in batches:
         cells = [c.tolist() for c in _buckets(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cells, pa.list_(pa.int32()))], ["id", "toxic", "cells"])
-
-
-def _cells_of(words: str) -> np.ndarray:
-    return np.unique(np.concatenate([*_buckets(pa.array([w for w in re.split(r"\s+", words)], pa.string()))]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cells, pa.list_(pa.int32()))], ["id", "labels", "cells"])
 
 
 def _sigmoid(x):
@@ -105,66 +96,80 @@ def fit(rows: Rows, extra: np.ndarray, label: np.ndarray, use: np.ndarray, round
     return w, e, b
 
 
-def train(cells: list[np.ndarray], toxic: np.ndarray, features: int = FEATURES) -> dict:
-    """A chain: the chosen cells, and for each category its weights."""
-    n = len(cells)
+def chosen_words(cells: list[np.ndarray], label: np.ndarray, use: np.ndarray, features: int, sure: float) -> np.ndarray:
+    """The cells whose presence tells most about the label in the rows in use, sorted."""
     count, bad = np.zeros(SPACE), np.zeros(SPACE)
-    for c, t in zip(cells, toxic):
-        count[c] += 1
-        bad[c] += t
-    share = toxic.mean() if n else 0.0
+    for c, t, u in zip(cells, label, use):
+        if u:
+            count[c] += 1
+            bad[c] += t
+    share = label[use].mean() if use.any() else 0.0
     tells = np.abs(bad - share * count) / np.sqrt(count * max(share * (1 - share), 1e-9) + 1)
-    tells[count < 3] = 0
-    chosen = np.sort(np.argsort(-tells, kind="stable")[:features])
-    chosen = chosen[tells[chosen] >= SURE]
+    best = np.argsort(-tells, kind="stable")[:features]
+    return np.sort(best[tells[best] >= sure])
+
+
+def _rows(cells: list[np.ndarray], chosen: np.ndarray) -> Rows:
     place = np.full(SPACE, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
-    rows = Rows([p[p >= 0] for p in (place[c] for c in cells)], max(len(chosen), 1))
+    return Rows([p[p >= 0] for p in (place[c] for c in cells)], max(len(chosen), 1))
+
+
+def train(cells: list[np.ndarray], labels: np.ndarray, names=CATEGORIES, features: int = FEATURES, sure: float = SURE) -> dict:
+    """A chain: for each category its words and weights, and how its out-of-fold predictions fared (labels: -1 for none)."""
+    n = len(cells)
     fold = np.arange(n) % FOLDS
-    extra, models = np.zeros((n, 0)), []
-    for name in CHAIN:
-        seed = _cells_of(SEEDS[name]) if name in SEEDS else None
-        held = np.array([bool(np.isin(c, seed).any()) for c in cells], bool) if name in SEEDS else np.ones(n, bool)
-        label = (toxic.astype(bool) & held).astype(float)
+    extra, models, report = np.zeros((n, 0)), [], {}
+    for k, name in enumerate(names):
+        label, known = (labels[:, k] > 0).astype(float), labels[:, k] >= 0
         out = np.zeros(n)
         for f in range(FOLDS):
-            w, e, b = fit(rows, extra, label, fold != f)
+            use = known & (fold != f)
+            rows = _rows(cells, chosen_words(cells, label, use, features, sure))
+            w, e, b = fit(rows, extra, label, use)
             out = np.where(fold == f, rows.dot(w) + extra @ e + b, out)
-        models.append(fit(rows, extra, label, np.ones(n, bool)))
+        chosen = chosen_words(cells, label, known, features, sure)
+        models.append((chosen, fit(_rows(cells, chosen), extra, label, known)))
+        said, true = known & (_sigmoid(out) >= CUT), known & (label > 0)
+        report[name] = {"rows": int(known.sum()), "positive": int(true.sum()), "flagged": int(said.sum()), "right": int((said & true).sum())}
         extra = np.column_stack([extra, np.clip(out, -8, 8)])
-    return {"chosen": chosen, "models": models}
+    return {"models": models, "report": report, "names": tuple(names)}
 
 
 def _scored(chain: dict):
     def run(batches):
-        place = np.full(SPACE, -1, np.int64)
-        place[chain["chosen"]] = np.arange(len(chain["chosen"]))
         for batch in batches:
-            lists = [p[p >= 0] for p in (place[c] for c in _buckets(batch.column(1)))]
-            rows, extra, cols = Rows(lists, max(len(chain["chosen"]), 1)), np.zeros((batch.num_rows, 0)), []
-            for w, e, b in chain["models"]:
-                odds = rows.dot(w) + extra @ e + b
+            cells, extra, cols = list(_buckets(batch.column(1))), np.zeros((batch.num_rows, 0)), []
+            for chosen, (w, e, b) in chain["models"]:
+                odds = _rows(cells, chosen).dot(w) + extra @ e + b
                 cols.append(pa.array(_sigmoid(odds), pa.float64()))
                 extra = np.column_stack([extra, np.clip(odds, -8, 8)])
             flag = pa.array(cols[-1].to_numpy() >= CUT, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, flag], ["id", *[f"p_{c}" for c in CHAIN], "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, flag], ["id", *[f"p_{c}" for c in chain["names"]], chain["names"][-1]])
 
     return run
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Cells and labels of at most ``sample`` labelled documents (id, text; id, toxic)."""
-    labels = labels.where(F.col("id").isNotNull() & F.col("toxic").isNotNull()).groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
-    some = labels.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample)
-    some = docs.join(F.broadcast(some), "id").dropDuplicates(["id"]).select("id", "text", "toxic")
-    rows = some.mapInArrow(sliced(_sampled), "id long, toxic int, cells array<int>").toArrow().sort_by("id")
+def training_rows(docs: DataFrame, labels: DataFrame, names, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
+    """Cells and labels (-1: none) of at most ``sample`` labelled documents (id, text; id and the label columns)."""
+    each = [F.coalesce(F.max(F.col(c).cast("int")), F.lit(-1)).alias(c) for c in names]
+    labels = labels.where(F.col("id").isNotNull()).groupBy("id").agg(*each).where(" or ".join(f"`{c}` >= 0" for c in names))
+    some = labels.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample).select("id", F.array(*names).alias("labels"))
+    some = docs.join(F.broadcast(some), "id").groupBy("id", "labels").agg(F.min("text").alias("text")).select("id", "text", "labels")
+    rows = some.mapInArrow(sliced(_sampled), "id long, labels array<int>, cells array<int>").toArrow().sort_by("id")
     cells = [np.asarray(c.values) for c in rows.column("cells")] if rows.num_rows else []
-    return cells, np.array(rows.column("toxic").to_pylist(), np.int64)
+    return cells, np.array(rows.column("labels").to_pylist(), np.int64).reshape(-1, len(names))
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", categories=CATEGORIES, sample: int = SAMPLE, features: int = FEATURES, sure: float = SURE) -> dict:
+    """The chain that ``classify`` applies; its "report" counts out-of-fold predictions by category."""
+    pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marks = labels.select(F.col(id_col).cast("long").alias("id"), *categories)
+    return train(*training_rows(pairs, marks, categories, sample), categories, features, sure)
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """One row per input row: id, a probability for each category, and toxic."""
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", categories=CATEGORIES, sample: int = SAMPLE, features: int = FEATURES, sure: float = SURE) -> DataFrame:
+    """One row per input row: id, a probability for each category, and the last category's verdict under its name."""
+    chain = learn(docs, labels, id_col=id_col, text_col=text_col, categories=categories, sample=sample, features=features, sure=sure)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marks = labels.select(F.col(id_col).cast("long").alias("id"), "toxic")
-    chain = train(*training_rows(pairs, marks, sample))
-    return pairs.mapInArrow(sliced(_scored(chain)), f"id long, {', '.join(f'p_{c} double' for c in CHAIN)}, toxic boolean")
+    return pairs.mapInArrow(sliced(_scored(chain)), f"id long, {', '.join(f'p_{c} double' for c in categories)}, {categories[-1]} boolean")
