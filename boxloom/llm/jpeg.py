@@ -131,7 +131,6 @@ def _segments(raw: np.ndarray, begin: int) -> tuple[list[bytes], int]:
     if not len(cuts):
         return [data[keep].tobytes()], end
     ends = np.cumsum(keep)[np.r_[cuts - begin, len(data) - 1]]
-    ends[:-1] -= 0
     flat = data[keep].tobytes()
     marks = [0, *ends.tolist()]
     return [flat[a:b] for a, b in zip(marks, marks[1:])], end

@@ -1,8 +1,10 @@
 """Media columns: payloads stored as progressive JPEG, read back and described.
 
 A null text is empty. A payload is a text's UTF-8 bytes and zero bytes up to a positive
-multiple of 64. Equal texts give equal streams and features; repeated rows are stored each.
-Very long texts are coded in chunks of blocks. One narrow pass, no shuffle.
+multiple of 64. Equal texts give equal streams and features; repeated rows and null ids are
+stored each. Very long texts are coded in chunks of blocks. One narrow pass, no shuffle.
+Empty tables give no rows. Other columns aren't read, so their names can't clash. Payload
+streams hold luma alone; colour streams, with chroma upsampled, are read by the same decoder.
 """
 
 from __future__ import annotations
@@ -50,6 +52,17 @@ def _described(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["id", "n_bytes", *names])
 
 
+def _tensors(batches):
+    for batch in batches:
+        shapes, data = [], []
+        for value in batch.column(1):
+            tensor = jpeg.rgb(jpeg.read(value.as_buffer().to_pybytes()))
+            shapes.append(tensor.shape)
+            data.append(tensor.tobytes())
+        sizes = [pa.array([s[i] for s in shapes], pa.int32()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, pa.array(data, pa.binary())], ["id", "height", "width", "rgb"])
+
+
 def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and media: each text as a progressive JPEG stream."""
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -60,3 +73,8 @@ def describe(media: DataFrame) -> DataFrame:
     """Decodes stored streams: payload sums, media sums and a feature of the RGB tensor."""
     schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return media.mapInArrow(sliced(_described, 200), schema)
+
+
+def tensors(media: DataFrame) -> DataFrame:
+    """id, height, width and rgb: the full-resolution tensor of each stored stream (id, media), row by row, three bytes a pixel."""
+    return media.select("id", "media").mapInArrow(sliced(_tensors, 50), "id long, height int, width int, rgb binary")

@@ -153,3 +153,10 @@ def test_query(spark):
         assert r.payload_sha256 == hashlib.sha256(want).hexdigest() and r.tail_crc32 == zlib.crc32(want[-64:])
     assert got[0][2:] == got[1][2:] and got[4][1:] == got[5][1:] and got[4].feature != got[3].feature
     assert media.describe(media.store(docs.limit(0))).count() == 0
+
+
+def test_tensors_are_columns(spark):
+    stored = media.store(spark.createDataFrame([(1, "ab" * 100), (2, None)], "doc_id long, text string"))
+    for r in media.tensors(stored).collect():
+        data = stored.where(f"id = {r.id}").first().media
+        assert bytes(r.rgb) == jpeg.rgb(jpeg.read(bytes(data))).tobytes() and len(r.rgb) == r.height * r.width * 3
