@@ -8,13 +8,15 @@ dynamic program over sizes. In a class, documents are chosen in the order of a s
 of their id: the plan holds the last chosen hash and id, so every document is decided by
 its own row.
 
-Only per-source totals come to the driver (MAX_SOURCES bounds them). A source's class
-counts meet in one task, their number bounded by its distinct sizes, not its documents.
-Ranking inside a class happens only in one of 2 ** SLICE_BITS hash slices, so a class that holds a
-third of all rows is still spread out.
-
-Null text: size 0. A null source is a source of its own, the last. Repeated rows (same id,
-source and size) are decided alike. Empty tables give no rows.
+Sources stay a table, however many there are: one sum over it for each time that shares are
+dealt anew is all the driver sees. A source's class counts meet in one task, their number
+bounded by its distinct sizes, not its documents. Ranking inside a class happens only in one
+of 2 ** SLICE_BITS hash slices, so a class that holds a third of all rows is still spread out.
+
+Null and empty texts have size 0 and are never taken. A null source is a source of its own,
+the last. Very long texts are sizes like any other. Repeated rows (same id, source and size)
+are decided alike; ties of the hash go to the smaller id, a null id first. Empty tables give
+no rows. Other columns travel in a struct and can't clash.
 """
 
 from __future__ import annotations
@@ -23,12 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import Scratch
+from boxloom.llm.common import Scratch, small_enough
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-MAX_SOURCES = 100_000
 SLICE_BITS = 9
 #: Largest budget the dynamic program fits; larger ones are brought below it first.
 FIT = 1 << 17
@@ -42,22 +43,27 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], share: float = SHARE, weights=WEIGHTS, most: int = MOST) -> list[float]:
-    """Budgets of sources in order; what one may not take is shared again by weight."""
-    total, out = share * sum(sizes), [0.0] * len(sizes)
-    open_ = list(range(len(sizes)))
-    while open_:
-        left = total - sum(out[i] for i in range(len(sizes)) if i not in set(open_))
-        unit = left / sum(weights[i % len(weights)] for i in open_)
-        over = [i for i in open_ if unit * weights[i % len(weights)] > most * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = unit * weights[i % len(weights)]
-            break
-        for i in over:
-            out[i] = float(most * sizes[i])
-        open_ = [i for i in open_ if i not in set(over)]
-    return out
+def targets(sources: DataFrame, share: float = SHARE, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """Adds sid, source_size and target to sources (_src, s): what one may not take is shared again by weight.
+
+    Only one row per source is numbered in a window; a null source comes last.
+    """
+    order = Window.orderBy(F.col("_src").isNull(), "_src")
+    rows = sources.withColumn("sid", (F.row_number().over(order) - 1).cast("long")).withColumn("source_size", F.coalesce("s", F.lit(0)).cast("long"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
+    return rows.withColumns({"weight": weight, "limit": most * F.col("source_size")}).drop("s")
+
+
+def unit_of(rows: DataFrame, share: float = SHARE) -> float:
+    """What a weight of 1 gets once no source is above its limit: it only rises, so sources that reach theirs stay out."""
+    total = share * float(rows.agg(F.sum("source_size")).first()[0] or 0)
+    unit, capped = 0.0, -1
+    while True:
+        out = F.col("weight") * F.lit(unit) > F.col("limit")
+        r = rows.agg(F.count_if(out), F.sum(F.when(out, F.col("limit"))), F.sum(F.when(~out, F.col("weight")))).first()
+        if r[0] == capped or not r[2]:
+            return unit if r[2] else float("inf")
+        unit, capped = (total - float(r[1] or 0)) / r[2], r[0]
 
 
 def fit(counts: dict[int, int], budget: int, limit: int = FIT) -> dict[int, int]:
@@ -104,30 +110,26 @@ def _classes(limit: int):
     return run
 
 
-def plan(docs: DataFrame, *, seed: int = SEED, limit: int = FIT) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, scratch: Scratch, *, seed: int = SEED, limit: int = FIT) -> tuple[DataFrame, DataFrame]:
     """(sources, classes) for docs with _id, _source and _size.
 
     sources: _src, sid, source_size, target, passes. classes: sid, _size and the last hash
     and id that are taken once more.
     """
-    spark = docs.sparkSession
-    rows = docs.groupBy("_source").agg(F.sum("_size").alias("s")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = sorted(rows, key=lambda r: (r._source is None, r._source or ""))
-    sizes = [r.s or 0 for r in rows]
-    want = targets(sizes)
-    table = []
-    for i, (r, s, t) in enumerate(zip(rows, sizes, want)):
-        passes = min(MOST, int(t // s)) if s else 0
-        table.append((r._source, i, s, t, passes, round(t) - passes * s if passes < MOST else 0))
-    sources = spark.createDataFrame(table, "_src string, sid int, source_size long, target double, passes int, budget long")
-    known = docs.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("_src"))).drop("_source", "_src")
+    totals = docs.groupBy(F.col("_source").alias("_src")).agg(F.sum("_size").alias("s"))
+    rows = scratch.keep(targets(totals), "sources")
+    target = F.least(F.col("weight") * F.lit(unit_of(rows)), F.col("limit").cast("double"))
+    passes = F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size"))).cast("int")).otherwise(0)
+    rest = F.when(F.col("passes") < MOST, F.bround("target").cast("long") - F.col("passes") * F.col("source_size")).otherwise(0)
+    sources = rows.withColumn("target", target).withColumn("passes", passes).withColumn("budget", rest.cast("long"))
+    sources = sources.select("_src", "sid", "source_size", "target", "passes", "budget")
+    sources = F.broadcast(sources) if small_enough(sources, BROADCAST_ROWS) else sources
+    known = docs.join(sources, F.col("_source").eqNullSafe(F.col("_src"))).drop("_source", "_src")
     known = known.where((F.col("_size") > 0) & (F.col("budget") > 0)).withColumn("hash", F.xxhash64("_id", F.lit(seed)))
     known = known.withColumn("slice", F.shiftrightunsigned("hash", 64 - SLICE_BITS).cast("int"))
     slices = known.groupBy("sid", F.col("_size").alias("size"), "budget", "slice").agg(F.count(F.lit(1)).alias("n"))
     whole = slices.groupBy("sid", "size", "budget").agg(F.sum("n").alias("n"))
-    taken = whole.groupBy("sid").applyInPandas(_classes(limit), "sid int, size long, n long").where("n > 0")
+    taken = whole.groupBy("sid").applyInPandas(_classes(limit), "sid long, size long, n long").where("n > 0")
     run = Window.partitionBy("sid", "size").orderBy("slice")
     cut = slices.join(taken.withColumnRenamed("n", "need"), ["sid", "size"])
     cut = cut.withColumn("upto", F.sum("n").over(run))
@@ -155,11 +157,11 @@ def mix(
     )
     scratch = Scratch(spark, "mix")
     digest = scratch.keep(base.select("_id", "_source", "_size"), "digest")
-    sources, classes = plan(digest, seed=seed)
+    sources, classes = plan(digest, scratch, seed=seed)
     classes = scratch.keep(classes, "classes")
-    small = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = small_enough(classes, BROADCAST_ROWS)
     scratch.drop("digest")
-    out = base.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("_src")), "left").drop("_src")
+    out = base.join(sources, F.col("_source").eqNullSafe(F.col("_src")), "left").drop("_src")
     out = out.join(F.broadcast(classes) if small else classes, ["sid", "_size"], "left")
     hashed = F.xxhash64("_id", F.lit(seed))
     part = F.shiftrightunsigned(hashed, 64 - SLICE_BITS).cast("int")

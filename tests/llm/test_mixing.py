@@ -4,13 +4,26 @@ import random
 from boxloom.llm import mixing
 
 
-def test_targets_reshare():
-    sizes = [10, 100, 1000, 50, 0]
-    t = mixing.targets(sizes)
-    assert abs(sum(t) - 1.5 * sum(sizes)) < 1e-6
-    assert all(x <= 2 * s + 1e-9 for x, s in zip(t, sizes))
-    assert t[0] == 20 and t[4] == 0
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
+def brute_targets(sizes, share=1.5, weights=(5, 2, 1), most=2):
+    """Budgets of sources in order, dealt again until none is above its limit."""
+    total, out, open_ = share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        left = total - sum(out[i] for i in range(len(sizes)) if i not in open_)
+        unit = left / sum(weights[i % 3] for i in open_)
+        over = {i for i in open_ if unit * weights[i % 3] > most * sizes[i]}
+        out = [most * sizes[i] if i in over else unit * weights[i % 3] if i in open_ and not over else out[i] for i in range(len(sizes))]
+        open_ = open_ - over if over else set()
+    return out
+
+
+def test_targets_reshare(spark):
+    rng = random.Random(3)
+    for sizes in ([10, 100, 1000, 50, 0], [0, 0], [7], [rng.choice([0, 3, 900, 40]) for _ in range(60)]):
+        rows = mixing.targets(spark.createDataFrame([(f"s{i:03}", s) for i, s in enumerate(sizes)], "_src string, s long")).cache()
+        unit = mixing.unit_of(rows)
+        got = [min(r.weight * unit if r.weight * unit == r.weight * unit else 0.0, float(r.limit)) for r in rows.orderBy("sid").collect()]
+        want = brute_targets(sizes)
+        assert all(abs(a - b) < 1e-6 for a, b in zip(got, want)) and abs(sum(got) - 1.5 * sum(sizes)) < 1e-6
 
 
 def test_fit_is_the_best_subset():
@@ -43,7 +56,7 @@ def test_mix(spark):
     for i, t, s, _ in rows:
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, mixing.targets([sizes[s] for s in order])))
+    want = dict(zip(order, brute_targets([sizes[s] for s in order])))
     taken = {}
     for r in out:
         assert r.source_size == sizes[r._row.source] and abs(r.target - want[r._row.source]) < 1e-9
