@@ -367,23 +367,43 @@ def spans_of(places: bytes, length: int = LENGTH) -> np.ndarray:
     return np.stack([start[cut], start[np.r_[cut[1:], len(start)] - 1] + length], axis=1) if len(start) else np.zeros((0, 2), np.int64)
 
 
-def _remove(batches):
-    for batch in batches:
-        spans, kept = [], []
-        for text, copy, places in zip(*(batch.column(i) for i in (1, 2, 3))):
-            data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            if copy.as_py() and len(data) >= LENGTH:
-                cut = np.array([[0, len(data)]])
-            else:
-                cut = spans_of(places.as_py()) if places.is_valid else np.zeros((0, 2), np.int64)
-            at, rest = 0, []
-            for x, y in cut.tolist():
-                rest.append(data[at:x])
-                at = y
-            spans.append([{"start": x, "end": y} for x, y in cut.tolist()])
-            kept.append(b"".join([*rest, data[at:]]) if len(cut) else data)
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), pa.array(kept, pa.binary())], ["_row", "spans", "kept"])
+def whole_characters(piece: bytes) -> bytes:
+    """A piece of UTF-8 without the parts of characters at its ends."""
+    start = 0
+    while start < min(3, len(piece)) and 0x80 <= piece[start] < 0xC0:
+        start += 1
+    end = len(piece)
+    for back in range(1, min(3, end - start) + 1):
+        lead = piece[end - back]
+        if lead >= 0xC0:
+            end -= back if back < (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4) else 0
+            break
+        if lead < 0x80:
+            break
+    return piece[start:end]
+
+
+def _remove(characters: bool):
+    def run(batches):
+        for batch in batches:
+            spans, kept = [], []
+            for text, copy, places in zip(*(batch.column(i) for i in (1, 2, 3))):
+                data = text.as_buffer().to_pybytes() if text.is_valid else b""
+                if copy.as_py() and len(data) >= LENGTH:
+                    cut = np.array([[0, len(data)]])
+                else:
+                    cut = spans_of(places.as_py()) if places.is_valid else np.zeros((0, 2), np.int64)
+                at, rest = 0, []
+                for x, y in cut.tolist():
+                    rest.append(data[at:x])
+                    at = y
+                rest.append(data[at:])
+                spans.append([{"start": x, "end": y} for x, y in cut.tolist()])
+                kept.append(b"".join(map(whole_characters, rest) if characters else rest) if len(cut) else data)
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), pa.array(kept, pa.binary())], ["_row", "spans", "kept"])
+
+    return run
 
 
 def _down(up: DataFrame, reduce, kind: np.dtype, scratch: Scratch, name: str) -> DataFrame:
@@ -396,8 +416,8 @@ def _down(up: DataFrame, reduce, kind: np.dtype, scratch: Scratch, name: str) ->
     return scratch.keep(dealt.dropDuplicates(["doc_id", "key"]), name)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES, part_bytes: int = PART_BYTES, suffix_bytes: int = SUFFIX_BYTES) -> DataFrame:
-    """One row per input row: _row (all its columns), spans (start, end in bytes) and kept (bytes)."""
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", characters: bool = False, unit_bytes: int = UNIT_BYTES, part_bytes: int = PART_BYTES, suffix_bytes: int = SUFFIX_BYTES) -> DataFrame:
+    """One row per input row: _row (all its columns), spans (start, end in bytes) and kept (bytes; ``characters``: without parts of characters that a cut has split)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     # a row is its id and its text: rows that repeat an id with other texts stay apart
@@ -428,4 +448,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     whole = whole.join(F.broadcast(flag) if small else flag, ["doc_id", "key"], "left").join(cuts, ["doc_id", "key"], "left")
     row = whole.schema["_row"].dataType.simpleString()
     out = whole.select("_row", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places")
-    return out.mapInArrow(sliced(_remove), f"_row {row}, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    return out.mapInArrow(sliced(_remove(characters)), f"_row {row}, spans array<struct<start: bigint, end: bigint>>, kept binary")

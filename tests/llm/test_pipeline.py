@@ -1,8 +1,7 @@
 import random
 
 import corpus_pipeline
-from boxloom.llm import mixing
-
+from .test_mixing import brute_targets
 from .test_near import shingle_set
 from .test_quality import brute as base_rules
 from .test_repeats import brute as cuts
@@ -58,8 +57,32 @@ def test_stages_against_brute_force(spark, tmp_path):
     for r in got.values():
         sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
     order = sorted(sizes)
-    for s, t in zip(order, mixing.targets([sizes[s] for s in order])):
+    for s, t in zip(order, brute_targets([sizes[s] for s in order])):
         assert abs(taken.get(s, 0) - t) <= 60
 
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
+
+
+def test_edges(spark, tmp_path):
+    """No rows, null ids and clashing columns; a genuine replacement character outlives a cut."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, kept boolean, size int, spans string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/a/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    rng = random.Random(2)
+    prose = lambda n: " ".join(f"w{rng.getrandbits(30)}" for _ in range(n))
+    passage = prose(12) + "é"
+    texts = [f"{prose(20)} {passage} a", f"\ufffd {prose(20)} {passage[:-1]}è {prose(9)}", None, prose(30)]
+    rows = [(i if i < 3 else None, t, "en", None, 1, 7, True, 3, "z") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/b/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/b/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, f"{tmp_path}/b")
+        assert out.columns == docs.columns
+        docs = out
+    cut = {r.doc_id: r.text for r in corpus_pipeline.repeat_removal(spark, spark.read.parquet(f"{tmp_path}/b/documents.parquet"), "").collect()}
+    assert cut[1].startswith("\ufffd ") and cut[1].count("\ufffd") == 1 and passage[:-1] not in cut[1] and cut[2] is None
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").where("doc_id is null").count() >= 1
