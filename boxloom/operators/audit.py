@@ -90,19 +90,34 @@ def first_per_key(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long")).where(F.col("rank") <= n)
 
 
-def group_split(groups: DataFrame, key: str, seed: int, train: float = 0.8) -> DataFrame:
-    """Every key in train, val or test: keys in the order of a seeded hash, test parts rounded up.
+def numbered(rows: DataFrame, span: Column, *order) -> DataFrame:
+    """Adds position, from 0, in an order along which ``span`` (a whole number) never falls.
 
-    Only distinct keys are ordered, in one window over hash order.
+    Rows are counted by span, the counts summed up, and rows placed inside their span: only the
+    few spans meet in one task.
     """
+    each = rows.withColumn("_span", span)
+    counts = each.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_span").orderBy(*order)) - 1
+    both = each.withColumn("_at", inside).join(offsets, "_span")
+    return both.withColumn("position", (F.col("_before") + F.col("_at")).cast("long")).drop("_span", "_at", "_before")
+
+
+def group_split(groups: DataFrame, key: str, seed: int, train: float = 0.8) -> DataFrame:
+    """Every key in train, val or test: distinct keys in the order of a seeded hash, test parts rounded up."""
     keys = groups.select(F.col(key).cast("string").alias("key")).distinct()
-    n = keys.crossJoin(F.broadcast(keys.agg(F.count(F.lit(1)).alias("n"))))
-    rank = F.row_number().over(Window.orderBy(F.md5(F.concat("key", F.lit(f":{seed}"))), "key"))
+    hashed = keys.withColumn("_hash", F.md5(F.concat("key", F.lit(f":{seed}"))))
+    ranked = numbered(hashed, F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"), "_hash", "key")
+    n = ranked.crossJoin(F.broadcast(keys.agg(F.count(F.lit(1)).alias("n"))))
+    rank = F.col("position") + 1
     rest = F.ceil(F.col("n") * (10 - round(train * 10)) / 10)
     cut = F.when(rank > rest, "train").when(rank > F.ceil(rest / 2), "val").otherwise("test")
     return n.select("key", cut.alias("split"))
 
 
+
 def orphans(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys the known rows don't have."""
     return rows.join(known.select(*keys).distinct(), keys, "left_anti")

@@ -11,27 +11,37 @@ from boxloom.functions import boxes as bx
 XYXY = ("x1", "y1", "x2", "y2")
 
 
-def _pairs(pred: DataFrame, gt: DataFrame) -> DataFrame:
+def _best(pred: DataFrame, gt: DataFrame, how: str) -> DataFrame:
+    """Predictions with the overlap and number of their best ground truth.
+
+    Boxes of one image and class meet in one shuffle, on which the aggregate and later windows
+    over finer keys build; their number is what one photograph holds.
+    """
     g = gt.select("image_id", "class_id", F.col("obj_idx").alias("gt_idx"), *[F.col(c).alias(f"g_{c}") for c in XYXY])
-    both = pred.join(g, ["image_id", "class_id"])
-    return both.withColumn("iou", bx.iou(bx.cols(*XYXY), bx.cols(*[f"g_{c}" for c in XYXY]), floor=1e-9))
+    both = pred.select("model", "image_id", "det_idx", "class_id", "score", *XYXY).join(g, ["image_id", "class_id"], how)
+    both = both.withColumn("iou", bx.iou(bx.cols(*XYXY), bx.cols(*[f"g_{c}" for c in XYXY]), floor=1e-9))
+    best = F.max(F.when(F.col("gt_idx").isNotNull(), F.struct("iou", (-F.col("gt_idx")).alias("order")))).alias("b")
+    found = both.groupBy("model", "image_id", "det_idx", "class_id").agg(best, F.max("score").alias("score"))
+    return found.select("model", "image_id", "det_idx", "class_id", "score", (-F.col("b.order")).alias("gt_idx"), F.col("b.iou").alias("iou"))
 
 
 def best_matches(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """For every prediction the ground truth of its image and class with the highest overlap, the first at ties."""
-    best = F.max(F.struct("iou", (-F.col("gt_idx")).alias("order"))).alias("b")
-    found = _pairs(pred, gt).groupBy("model", "image_id", "det_idx", "class_id").agg(best)
-    return found.select("model", "image_id", "det_idx", "class_id", (-F.col("b.order")).alias("gt_idx"), F.col("b.iou").alias("iou"))
+    return _best(pred, gt, "inner").drop("score")
 
 
 def tp_flags(pred: DataFrame, gt: DataFrame, thresholds=range(10)) -> DataFrame:
-    """A row for each prediction and threshold (50 + 5 i) / 100: true where it is the best-scored of its ground truth."""
-    keys = ["model", "image_id", "det_idx", "class_id"]
-    best = pred.select(*keys, "score").join(best_matches(pred, gt), keys, "left")
+    """A row for each prediction and threshold (50 + 5 i) / 100: true where it is the best-scored of its ground truth.
+
+    One window for all thresholds: a prediction counts from above the best overlap that a
+    better-scored one has with the same ground truth up to its own.
+    """
+    order = Window.partitionBy("image_id", "class_id", "model", "gt_idx").orderBy(F.desc("score"), "det_idx")
+    taken = F.coalesce(F.max("iou").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1.0))
+    best = _best(pred, gt, "left").withColumn("_taken", taken)
     each = best.withColumn("thr", F.explode(F.array(*[F.lit(i).cast("long") for i in thresholds])))
-    ok = F.coalesce(F.col("iou") >= (50 + 5 * F.col("thr")) / 100, F.lit(False))
-    order = Window.partitionBy("model", "image_id", "class_id", "thr", "gt_idx", ok).orderBy(F.desc("score"), "det_idx")
-    return each.withColumn("tp", (ok & (F.row_number().over(order) == 1)).cast("long"))
+    least = (50 + 5 * F.col("thr")) / 100
+    return each.withColumn("tp", F.coalesce((F.col("iou") >= least) & (F.col("_taken") < least), F.lit(False)).cast("long")).drop("_taken")
 
 
 def pr_curve(pred: DataFrame, gt: DataFrame, thresholds=range(10)) -> DataFrame:

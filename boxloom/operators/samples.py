@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.operators import audit
 from boxloom.sources import payloads
 
 #: Metadata attribute and the key that it is read from, by record.
@@ -180,18 +181,8 @@ def samples(images: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def positions(rows: DataFrame, column: str) -> DataFrame:
-    """Adds position: the place of each row by a unique whole number, from 0.
-
-    Rows are counted by range of the number and placed inside their range, so no task sees all.
-    """
-    span = F.floor(F.col(column) / 65536).alias("_span")
-    each = rows.withColumn("_span", F.floor(F.col(column) / 65536))
-    counts = rows.groupBy(span).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_span").orderBy(column)
-    both = each.withColumn("_at", F.row_number().over(inside) - 1).join(offsets, "_span")
-    return both.withColumn("position", (F.col("_before") + F.col("_at")).cast("long")).drop("_span", "_at", "_before")
+    """Adds position: the place of each row by a unique whole number, from 0."""
+    return audit.numbered(rows, F.floor(F.col(column) / 65536), column)
 
 
 def agree(*sets: DataFrame, key: str = "position") -> DataFrame:

@@ -29,7 +29,7 @@ SELECT l.l_orderkey AS image_id, l.obj_idx, l.l_orderkey * 100 + l.obj_idx AS an
 FROM (
   SELECT *, cast(round(l_discount * 100) AS bigint) AS disc, cast(round(l_tax * 100) AS bigint) AS tax,
     cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
-      l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS bigint) AS obj_idx
+      l_discount, l_tax, l_returnflag, l_linestatus) AS bigint) AS obj_idx
   FROM lineitem) l
 LEFT JOIN part p ON l.l_partkey = p.p_partkey
 """
