@@ -226,6 +226,61 @@ def training_recipe() -> Step:
     return compose(chance(0.7, colour), chance(0.2, sensor_noise()), chance(0.1, motion_blur()), chance(0.3, shadows()))
 
 
+# ---------------------------------------------------------------- shapes
+
+
+def turned(img: np.ndarray, degrees: float, scale: float = 1.0, fill: int = 114) -> np.ndarray:
+    """An image turned about its middle, as ``boxes.rotated`` turns its boxes; nearest pixels, a plain border."""
+    h, w = img.shape[:2]
+    c, s = np.cos(np.deg2rad(degrees)) / scale, np.sin(np.deg2rad(degrees)) / scale
+    y, x = np.mgrid[:h, :w]
+    dx, dy = x + 0.5 - w / 2, y + 0.5 - h / 2
+    u, v = np.floor(w / 2 + c * dx - s * dy).astype(int), np.floor(h / 2 + s * dx + c * dy).astype(int)
+    inside = (u >= 0) & (u < w) & (v >= 0) & (v < h)
+    out = np.full_like(img, fill)
+    out[inside] = img[v[inside], u[inside]]
+    return out
+
+
+def flipped(img: np.ndarray, vertical: bool = False) -> np.ndarray:
+    return img[::-1] if vertical else img[:, ::-1]
+
+
+def letterboxed(img: np.ndarray, size: int, fill: int = 114) -> np.ndarray:
+    """The longer side scaled to ``size``, the image centred on a plain square; nearest pixels."""
+    h, w = img.shape[:2]
+    scale = size / max(h, w)
+    high, wide = max(1, round(h * scale)), max(1, round(w * scale))
+    rows, cols = (np.minimum((np.arange(n) * m / n).astype(int), m - 1) for n, m in ((high, h), (wide, w)))
+    out = np.full((size, size, img.shape[2]), fill, np.uint8)
+    top, left = (size - high) // 2, (size - wide) // 2
+    out[top : top + high, left : left + wide] = img[rows][:, cols]
+    return out
+
+
+def pasted(canvas: np.ndarray, patches: Sequence[np.ndarray], rng: np.random.Generator, tries: int = 50, gap: int = 2) -> tuple[np.ndarray, list[tuple[int, int, int, int, int]]]:
+    """Patches on a canvas where they touch no other, each at the first of some random places that is free.
+
+    Returns the image and (patch, x1, y1, x2, y2) of those placed. A fourth channel of a patch is
+    its opacity; without one it covers what is below.
+    """
+    out, placed = canvas.astype(float), []
+    h, w = canvas.shape[:2]
+    for k, patch in enumerate(patches):
+        ph, pw = patch.shape[:2]
+        if ph > h or pw > w:
+            continue
+        for _ in range(tries):
+            x, y = int(rng.integers(0, w - pw + 1)), int(rng.integers(0, h - ph + 1))
+            if all(x >= b[3] + gap or x + pw + gap <= b[1] or y >= b[4] + gap or y + ph + gap <= b[2] for b in placed):
+                alpha = patch[..., 3:4] / 255 if patch.shape[2] == 4 else 1.0
+                part = out[y : y + ph, x : x + pw]
+                part[...] = part * (1 - alpha) + patch[..., :3] * alpha
+                placed.append((k, x, y, x + pw, y + ph))
+                break
+    return _bytes(np.rint(out)), placed
+
+
 # ---------------------------------------------------------------- files
 
 

@@ -51,12 +51,22 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, sample deviation, minimum, linear quartiles and maximum of each column."""
-    long = df.select(F.expr(f"stack({len(columns)}, {', '.join(f"'{c}', `{c}`" for c in columns)}) as (column_name, v)"))
-    return long.groupBy("column_name").agg(
-        F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("min"),
-        F.expr("percentile(v, 0.25)").alias("q1"), F.expr("percentile(v, 0.5)").alias("q2"), F.expr("percentile(v, 0.75)").alias("q3"), F.max("v").alias("max"),
-    )
+    """count, mean, sample deviation, minimum, linear quartiles and maximum of each column.
+
+    Quartiles are read off the counts of distinct values, summed up in order; no buffer holds them all.
+    """
+    long = df.select(F.expr(f"stack({len(columns)}, {', '.join(f"'{c}', `{c}`" for c in columns)}) as (column_name, v)")).where("v is not null")
+    one = long.groupBy("column_name").agg(
+        F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
+    upto = Window.partitionBy("column_name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    counts = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(upto))
+    counts = counts.join(F.broadcast(one.select("column_name", "n")), "column_name")
+    at = {q: F.lit(q) * (F.col("n") - 1) for q in (0.25, 0.5, 0.75)}
+    ends = [F.min(F.when(F.col("upto") > f(p), F.col("v"))).alias(f"{side}{i}") for i, p in enumerate(at.values(), 1) for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = counts.groupBy("column_name").agg(*ends).join(one, "column_name")
+    quartiles = {f"q{i}": F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (p - F.floor(p)) for i, p in enumerate(at.values(), 1)}
+    return found.withColumns(quartiles).select("column_name", "n", "mean", "std", "min", "q1", "q2", "q3", "max")
 
 
 def aspect_bin(w: Column, h: Column) -> Column:

@@ -97,6 +97,15 @@ def documents_of_images(images: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("stem", "expected", F.coalesce("direct", "all", F.lit(0)).alias("found"), mode.alias("mode"))
 
 
+def crop_folders(spark: SparkSession, path: str, classes: DataFrame) -> DataFrame:
+    """(path, folder, file_name, class_id) of crops kept in a folder for each class; class_id is null where no class has the folder's name."""
+    from boxloom.operators import samples
+
+    files = list_files(spark, path, IMAGES).withColumn("folder", F.element_at(F.split("path", "/"), -2))
+    known = samples.match_names(files.select("folder").distinct(), classes)
+    return files.join(F.broadcast(known), "folder").select("path", "folder", "file_name", "class_id")
+
+
 # ---------------------------------------------------------------- label folders
 
 

@@ -167,3 +167,59 @@ def test_pixels():
     assert pixels.chance(0.0, pixels.gamma())(img, rng) is img
     back = pixels.denormalized((img.transpose(2, 0, 1) / 255 - 0.4) / 0.2, [0.4] * 3, [0.2] * 3)
     assert (back == img).all()
+
+
+def test_build(spark, tmp_path):
+    from boxloom.plans import builds
+
+    images = spark.createDataFrame([(i, i // 2) for i in range(20)], "image_id long, group_id long")
+    rows = [(i, k, 10 * (k + 1), 30.0 + 130 * k, 40.0, 60.0, 50.0, 480.0, 640.0) for i in range(20) for k in range(3)]
+    objects = spark.createDataFrame(rows, "image_id long, obj_idx long, category_id long, bbox_x double, bbox_y double, bbox_w double, bbox_h double, image_width double, image_height double")
+    names = spark.createDataFrame([(10, "A"), (20, "B")], "category_id long, name string")
+    got = {r.split: (r.images, r.boxes, r.skipped) for r in builds.build(images, objects, names, f"{tmp_path}/a").collect()}
+    assert got == {"train": (16, 48, 0), "val": (2, 6, 0), "test": (2, 6, 0)}
+    assert folders.read_names(f"{tmp_path}/a/data.yaml") == {0: "A", 1: "B", 2: "30"}
+    got = {r.split: (r.images, r.boxes) for r in builds.build(images, objects, names, f"{tmp_path}/b", single_object=True, how="one_step").collect()}
+    assert got["train"] == (48, 48) and got["val"] == (2, 6)
+    got = {r.split: r.images for r in builds.build(images, objects, names, f"{tmp_path}/c", how="hash", n_aug=2).collect()}
+    assert got["train"] == 48
+    assigned = builds.split_images(images, "group_id", 1, "hash")
+    assert all(r.unlabelled == 0 for r in builds.label_problems(objects, assigned).collect())
+
+
+def test_patches(spark, tmp_path):
+    from boxloom.operators import patches
+
+    rng = np.random.default_rng(0)
+    images = spark.createDataFrame([(i, 90, 80, rng.integers(0, 255, (80, 90, 3), dtype=np.uint8).tobytes()) for i in range(4)], "image_id long, width int, height int, data binary")
+    objects = spark.createDataFrame([(i, k, k, 10.0 * k, 5.0, 10.0 * k + 12, 25.0) for i in range(4) for k in range(3)], "image_id long, obj_idx long, class_id long, x1 double, y1 double, x2 double, y2 double")
+    library = patches.keep(patches.cut(images, objects, 2, 7), f"{tmp_path}/library")
+    assert {r.class_id: r["count"] for r in library.groupBy("class_id").count().collect()} == {0: 2, 1: 2, 2: 2}
+    drawn = augment.weighted_draw(spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 2.0)], "category_id long, weight double"), 9, 5)
+    out = patches.compose(library, drawn, 3, 200, 160, 5).collect()
+    assert len(out) == 3 and sorted(r.image_id for r in out) == [0, 1, 2]
+    for r in out:
+        assert len(r.objects) == 3 and len(r.data) == 200 * 160 * 3
+        for i, a in enumerate(r.objects):
+            assert all(a.x1 >= b.x2 or b.x1 >= a.x2 or a.y1 >= b.y2 or b.y1 >= a.y2 for b in r.objects[:i])
+    again = patches.compose(library.repartition(3), drawn, 3, 200, 160, 5).collect()
+    assert sorted(bytes(r.data) for r in out) == sorted(bytes(r.data) for r in again)
+
+
+def test_shapes():
+    img = np.zeros((40, 60, 3), np.uint8)
+    img[10:20, 30:50] = 255
+    assert (pixels.turned(img, 0.0) == img).all() and pixels.letterboxed(img, 30).shape == (30, 30, 3)
+    y, x = np.nonzero(pixels.turned(img, 90.0, fill=0)[..., 0])
+    assert (x.min(), x.max() + 1, y.min(), y.max() + 1) == (20, 30, 0, 20)  # where boxes.rotated puts the box
+    assert (pixels.flipped(pixels.flipped(img)) == img).all() and pixels.flipped(img, True)[25, 40, 0] == 255
+
+
+def test_crop_folders(spark, tmp_path):
+    for folder in ("3351_Alpha", "nobody"):
+        os.makedirs(f"{tmp_path}/{folder}")
+        with open(f"{tmp_path}/{folder}/x.png", "wb") as f:
+            f.write(pixels.png(np.zeros((4, 4, 3), np.uint8)))
+    classes = spark.createDataFrame([(4, "alpha")], "class_id long, name string")
+    got = {r.folder: r.class_id for r in folders.crop_folders(spark, str(tmp_path), classes).collect()}
+    assert got == {"3351_Alpha": 4, "nobody": None}
