@@ -8,9 +8,10 @@ documents below a fixed threshold are rejected, each by its own text alone.
 All of it is DataFrame expressions: no Python runs on the executors. The only data that
 leaves them is the ratio table, whose size is the number of buckets.
 
-Null and empty texts have no words: base_failed, score 0. Repeated rows are judged each.
-Without trusted documents all ratios are 0 and only the base rules reject. Columns of the
-input never clash: they travel in a struct.
+Null and empty texts have no words: base_failed, score 0. Repeated rows are judged each;
+their trusted mark is the id's. Very long texts are arrays of their words in one row. A score
+on the threshold is kept. Without trusted documents all ratios are 0 and only the base rules
+reject. Empty tables give no rows. Columns of the input never clash: they travel in a struct.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def quality_rules(
     buckets: int = BUCKETS,
     threshold: int = THRESHOLD,
 ) -> DataFrame:
-    """One row per input row: _row (all its columns), the measures, score and kept."""
+    """One row per input row: _row (all its columns), the measures, kept and score."""
     base = docs.select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct("*").alias("_row")
     )
@@ -149,8 +150,8 @@ def quality_rules(
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n") / SCALE).otherwise(F.lit(0.0)).alias("score"),
         (~F.col("base_failed") & (F.col("_sum") >= F.col("_n") * threshold)).alias("kept"),
+        F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n") / SCALE).otherwise(F.lit(0.0)).alias("score"),
     )
 
 
