@@ -54,3 +54,12 @@ def build(images: DataFrame, objects: DataFrame, categories: DataFrame, root: st
     box = {"bbox_x": F.col("x1"), "bbox_y": F.col("y1"), "bbox_w": F.col("x2") - F.col("x1"), "bbox_h": F.col("y2") - F.col("y1")}
     names = mapping.join(categories.select("category_id", "name"), "category_id", "left").select("class_id", F.coalesce("name", F.col("category_id").cast("string")).alias("name"))
     return labels.export_split(both.withColumns(box), names, root, clean)
+
+
+def with_composed(objects: DataFrame, composed: DataFrame) -> DataFrame:
+    """Train objects and those of composed images (see ``patches.compose``), tagged by kind; composed images keep their own stems."""
+    each = composed.select("image_id", F.col("width").cast("double").alias("image_width"), F.col("height").cast("double").alias("image_height"), F.posexplode("objects").alias("obj_idx", "o"))
+    rows = each.select("image_id", F.col("obj_idx").cast("long").alias("obj_idx"), "o.*", "image_width", "image_height")
+    rows = rows.withColumn("stem", F.concat(F.lit("copy_paste_"), F.lpad(F.col("image_id").cast("string"), 6, "0")))
+    own = objects.withColumn("stem", F.col("image_id").cast("string")) if "stem" not in objects.columns else objects
+    return augment.union_kinds(orig=own, cp=rows)

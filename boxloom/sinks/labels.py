@@ -100,6 +100,13 @@ def names_of(categories: DataFrame) -> list[str]:
     return [r.name for r in rows]
 
 
+def require_same_size(names: dict[int, str], categories: DataFrame) -> None:
+    """A names file has as many names as there are classes."""
+    n = categories.select("category_id").distinct().count()
+    if n != len(names):
+        raise ValueError(f"{len(names)} names for {n} classes")
+
+
 def write_data_yaml(categories: DataFrame, root: str, splits=("train", "val", "test")) -> str:
     """The names file of an exported data set."""
     import yaml
@@ -182,9 +189,10 @@ def run_report(counts: DataFrame, **settings) -> str:
 
 
 def markdown_report(title: str, counts: DataFrame, settings: dict) -> str:
-    """The same as a markdown page."""
+    """The same as a markdown page, with the time of its writing."""
     columns = counts.columns
-    lines = [f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    when = counts.sparkSession.sql("select date_format(current_timestamp(), 'yyyy-MM-dd HH:mm') as t").first().t
+    lines = [f"# {title}", "", f"Written {when}.", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
     lines += ["| " + " | ".join(str(v) for v in r) + " |" for r in sorted(counts.collect(), key=str)]
     lines += ["", "| setting | value |", "|---|---|", *[f"| {k} | {v} |" for k, v in sorted(settings.items())]]
     return "\n".join(lines) + "\n"

@@ -202,6 +202,10 @@ def test_patches(spark, tmp_path):
         assert len(r.objects) == 3 and len(r.data) == 200 * 160 * 3
         for i, a in enumerate(r.objects):
             assert all(a.x1 >= b.x2 or b.x1 >= a.x2 or a.y1 >= b.y2 or b.y1 >= a.y2 for b in r.objects[:i])
+    from boxloom.plans import builds
+
+    both = builds.with_composed(objects.withColumns({"image_width": F.lit(90.0), "image_height": F.lit(80.0)}), patches.compose(library, drawn, 3, 200, 160, 5))
+    assert {r.kind: (r.images, r.boxes) for r in augment.kind_counts(both).collect()} == {"orig": (4, 12), "cp": (3, 9)}
     again = patches.compose(library.repartition(3), drawn, 3, 200, 160, 5).collect()
     assert sorted(bytes(r.data) for r in out) == sorted(bytes(r.data) for r in again)
 
