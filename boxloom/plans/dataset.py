@@ -281,10 +281,10 @@ def _(t):
     return crops.single_crops(_crops(t)).select("image_id", "obj_idx", "kind", *[f"crop_{c}" for c in XYXY])
 
 
-@query("crop_label", "gt", f"SELECT image_id, obj_idx, round((i_x1 + i_x2) / 2 / w_, 6) AS cx, round((i_y1 + i_y2) / 2 / h_, 6) AS cy, round((i_x2 - i_x1) / w_, 6) AS w, round((i_y2 - i_y1) / h_, 6) AS h FROM {_inner} WHERE i_x2 > i_x1 AND i_y2 > i_y1")
+@query("crop_label", "gt", f"SELECT image_id, obj_idx, round((i_x1 + i_x2) / 2 / w_, 9) AS cx, round((i_y1 + i_y2) / 2 / h_, 9) AS cy, round((i_x2 - i_x1) / w_, 9) AS w, round((i_y2 - i_y1) / h_, 9) AS h FROM {_inner} WHERE i_x2 > i_x1 AND i_y2 > i_y1")
 def _(t):
     rows = crops.crop_label(crops.single_crops(_crops(t))).where("cx is not null")
-    return rows.select("image_id", "obj_idx", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h")])
+    return rows.select("image_id", "obj_idx", *[F.round(c, 9).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
 @query("single_object_rows", "gt", f"SELECT concat(image_id, '_obj', lpad(cast(obj_idx AS varchar), 3, '0')) AS stem, class_id, kind, i_x2 > i_x1 AND i_y2 > i_y1 AS labelled FROM {_inner}")
