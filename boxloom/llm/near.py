@@ -376,8 +376,11 @@ def near_duplicates(
             part = where.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
             part = part.withColumn("other", other).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-            part = part.select("key", "band", "left", "right", "block", "node", "comp").join(last, "node")
             own = ["key", "left", "right"]
+            if turn > ROUNDS:  # components only grow, so blocks without a pair stay without one
+                busy = placed.select(*own).distinct()
+                part = part.join(F.broadcast(busy) if small_enough(busy, BROADCAST_IDS) else busy, own, "left_semi")
+            part = part.select("key", "band", "left", "right", "block", "node", "comp").join(last, "node")
             placed = part.groupBy(*own).cogroup(failed.groupBy(*own)).applyInArrow(_compare(percent, budget), failed.schema)
             placed = scratch.keep(placed, f"placed-{turn}")
             pairs = placed.select("a", "b")
