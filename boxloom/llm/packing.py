@@ -42,9 +42,9 @@ UNIT_TOKENS = 2_000_000
 #: Windows of tokens of a training step.
 STEP = 8
 #: Ids that a worker keeps for the chunks it has met, before it starts anew.
-CACHE = 6_000_000
+CACHE = 2_000_000
 #: Bytes of text whose distinct chunks are looked up together.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -286,4 +286,4 @@ def pack(
 ) -> DataFrame:
     """One row per piece: where its document's ids stand, in which sequence, and their check sum."""
     pairs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    return pairs.mapInArrow(sliced(_packer(tokenizer, window, unit_tokens), 4000), SCHEMA)
+    return pairs.mapInArrow(sliced(_packer(tokenizer, window, unit_tokens), 2000), SCHEMA)
