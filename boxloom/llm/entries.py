@@ -43,7 +43,7 @@ def classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chains.fuzzy_passages(_read(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.withColumnRenamed("id", "doc_id").withColumn("passages", F.to_json("passages"))
+    return out.withColumnRenamed("id", "doc_id").withColumns({c: F.to_json(c) for c in ("passages", "own")})
 
 
 def tokenizer() -> str:
