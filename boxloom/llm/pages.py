@@ -2,8 +2,8 @@
 
 Pages are parsed to blocks of text, each under a path of elements (tag, id, classes). The
 pages of a host are merged into one tree: a branch holds, over all its host's pages, how the
-content features (block texts) below it are spread, and in which presentations (sequences of
-blocks below it) it appears. A feature's importance is one less its entropy over the branch's
+content features (block texts, on a page or not) below it are spread, and in which
+presentations (sequences of blocks below it) it appears. A feature's importance is one less its entropy over the branch's
 pages, so that what every page repeats has none; a branch's content importance is the mean
 over all that stands below it, and its presentation importance the entropy of its presentations,
 both scaled by the logarithm of its pages. The two are combined with a damping factor, and a
@@ -31,12 +31,13 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import Scratch, sliced
+from boxloom.llm.common import Scratch, sliced, small_enough
 
 #: Branches of a lower importance are removed.
 LEAST = 0.2
@@ -44,6 +45,8 @@ LEAST = 0.2
 DAMPING = 0.9
 #: Different pages of a host that must hold a branch before the tree may remove it.
 SUPPORT = 3
+#: Copies of pages, and low branches, up to this number are broadcast (8 bytes each); beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 #: Elements that never hold main text.
 NOISE = set("nav header footer aside form button select option menu dialog fieldset label input".split())
@@ -75,7 +78,6 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*))(?:>|$)|<[!?/][^>]*(?:>|$)""", re.S
 )
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HOST = re.compile(r"^[a-z][a-z0-9+.-]*://([^/?#]*)", re.I)
 
 
 def named_noise(tag: str, attributes: list[tuple[str, str]], inside: bool) -> bool:
@@ -165,84 +167,99 @@ def _code(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-_SCHEMA = (
-    "page_id long, url string, host string, sum long, blocks array<string>, declared array<boolean>, main boolean, chains array<array<bigint>>, "
-    "branches array<struct<branch: bigint, style: bigint, around: boolean, features: array<struct<feature: bigint, n: bigint>>>>"
-)
-_ONE = pa.struct([("feature", pa.int64()), ("n", pa.int64())])
-_KINDS = [
-    pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.bool_(), pa.list_(pa.list_(pa.int64())),
-    pa.list_(pa.struct([("branch", pa.int64()), ("style", pa.int64()), ("around", pa.bool_()), ("features", pa.list_(_ONE))])),
-]
-
-
-def tree_of(page: str) -> tuple:
-    """(sum, blocks, declared, main, chains, branches) of a page: its blocks, which the markup declares to be no main text, the branches of each."""
-    main, found = parse(page)
-    chains, held, around = [], {}, set()
-    for path, text, _, _ in found:
-        steps = path.split(">") if path else []
-        tags = [s.partition(".")[0] for s in steps]
-        inner = max((i for i, t in enumerate(tags) if t in ("article", "main")), default=-1)
-        own = [(i, _code(">".join(steps[: i + 1]))) for i, t in enumerate(tags) if t not in ("html", "body")]
-        around.update(b for i, b in own if i <= inner)
-        chains.append([b for _, b in own])
-        feature = _code(text)
-        for i, b in own:
-            styles, features = held.setdefault(b, ([], {}))
-            styles.append(">".join(steps[i + 1 :]))
-            features[feature] = features.get(feature, 0) + 1
-    branches = [
-        {"branch": b, "style": _code("|".join(styles)), "around": b in around, "features": [{"feature": f, "n": n} for f, n in features.items()]}
-        for b, (styles, features) in held.items()
-    ]
-    declared = [noise or main and not inside for _, _, inside, noise in found]
-    return _code(repr([(p, t) for p, t, _, _ in found])), [t for _, t, _, _ in found], declared, main, chains, branches
-
-
-def _parsed(batches):
+_CODES = "host string, sum long, pairs array<struct<branch: bigint, feature: int>>, styles array<struct<branch: bigint, style: int, around: boolean>>"
+_TEXT = "page_id long, url string, text string, n_declared long, n_removed long"
+
+
+class Tree:
+    """A page's blocks, which of them the markup declares to be no main text, and the branches around each."""
+
+    def __init__(self, host: str, page: str):
+        self.main, found = parse(page)
+        self.blocks = [text for _, text, _, _ in found]
+        self.declared = [noise or self.main and not inside for _, _, inside, noise in found]
+        self.chains, self.around = [], set()
+        self.held: dict[int, tuple[list[str], set[int]]] = {}  # branch -> the paths below it, its features
+        codes: dict[str, list[int]] = {}
+        for path, text, _, _ in found:
+            if path not in codes:
+                steps = path.split(">") if path else []
+                tags = [s.partition(".")[0] for s in steps]
+                inner = max((i for i, t in enumerate(tags) if t in ("article", "main")), default=-1)
+                own = [(i, _code(f"{host} {'>'.join(steps[: i + 1])}")) for i, t in enumerate(tags) if t not in ("html", "body")]
+                self.around.update(b for i, b in own if i <= inner)
+                codes[path] = [b for _, b in own]
+            self.chains.append(codes[path])
+            feature = zlib.crc32(text.encode()) - (1 << 31)
+            for b in codes[path]:
+                styles, features = self.held.setdefault(b, ([], set()))
+                styles.append(path)
+                features.add(feature)
+        self.sum = _code(repr([(p, t) for p, t, _, _ in found]))
+
+    def text(self, low: set[int]) -> tuple[str, int, int]:
+        """Main text, blocks the markup rules out, and further ones in low branches; a main element keeps half of its text at least, else all."""
+        left = [i for i, gone in enumerate(self.declared) if not gone]
+        kept = [i for i in left if low.isdisjoint(self.chains[i])] if low else left
+        size = lambda rows: sum(len(self.blocks[i]) for i in rows)
+        if self.main and 2 * size(kept) < size(left):
+            kept = left
+        return "\n".join(self.blocks[i] for i in kept), len(self.blocks) - len(left), len(left) - len(kept)
+
+
+def _coded(batches):
+    pair = pa.list_(pa.struct([("branch", pa.int64()), ("feature", pa.int32())]))
+    style = pa.list_(pa.struct([("branch", pa.int64()), ("style", pa.int32()), ("around", pa.bool_())]))
+    for batch in batches:
+        sums, pairs, styles = [], [], []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            tree = Tree(host, page or "")
+            sums.append(tree.sum)
+            pairs.append([{"branch": b, "feature": f} for b, (_, features) in tree.held.items() for f in sorted(features)])
+            styles.append([{"branch": b, "style": zlib.crc32("|".join(s).encode()) - (1 << 31), "around": b in tree.around} for b, (s, _) in tree.held.items()])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64()), pa.array(pairs, pair), pa.array(styles, style)], ["host", "sum", "pairs", "styles"])
+
+
+def _extracted(batches):
     for batch in batches:
-        rows = []
-        for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            found = _HOST.match(url or "")
-            rows.append((found[1].lower() if found else "", *tree_of(page or "")))
-        cols = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(_KINDS), _KINDS)]
-        names = ["page_id", "url", "host", "sum", "blocks", "declared", "main", "chains", "branches"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names)
-
-
-def importance(branches: DataFrame) -> DataFrame:
-    """(host, branch, pages, around, importance) from a row for each page and branch (host, branch, style, around, features)."""
-    keys = ["host", "branch"]
-    styles = branches.groupBy(*keys, "style").agg(F.count(F.lit(1)).alias("n"), F.max("around").alias("around"))
-    held = styles.groupBy(*keys).agg(F.sum("n").alias("pages"), F.max("around").alias("around"), F.sum(F.col("n") * F.log("n")).alias("part"))
-    each = branches.select(*keys, F.explode("features").alias("f")).select(*keys, "f.*")
-    spread = each.groupBy(*keys, "feature").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("part"))
-    content = spread.groupBy(*keys).agg((F.sum(F.col("all") * F.log("all") - F.col("part")) / F.sum("all")).alias("bits"))
+        rows = [Tree(host, page or "").text(set(low or ())) for host, page, low in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+        cols = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["page_id", "url", "text", "n_declared", "n_removed"])
+
+
+def importance(pages: DataFrame) -> DataFrame:
+    """(branch, host, pages, around, importance) from pages (host, pairs, styles); a branch's code holds its host."""
+    each = pages.select("host", F.explode("styles").alias("s")).select("host", "s.*")
+    styles = each.groupBy("branch", "style").agg(F.count(F.lit(1)).alias("n"), F.max("around").alias("around"), F.min("host").alias("host"))
+    held = styles.groupBy("branch").agg(F.sum("n").alias("pages"), F.max("around").alias("around"), F.min("host").alias("host"), F.sum(F.col("n") * F.log("n")).alias("part"))
+    pairs = pages.select(F.explode("pairs").alias("p")).select("p.*")
+    # a feature stands on a page or not: its entropy over the pages that have it is the logarithm of their number
+    spread = pairs.groupBy("branch", "feature").agg(F.count(F.lit(1)).alias("n"))
+    content = spread.groupBy("branch").agg((F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("bits"))
     base = F.log(F.greatest("pages", F.lit(2)))
     node = F.when(F.col("pages") > 1, F.least((F.log("pages") - F.col("part") / F.col("pages")) / base, F.lit(1.0))).otherwise(1.0)
     leaf = F.when(F.col("pages") > 1, 1 - F.least(F.col("bits") / base, F.lit(1.0))).otherwise(1.0)
-    return held.join(content, keys).select(*keys, "pages", "around", ((1 - DAMPING) * node + DAMPING * leaf).alias("importance"))
+    return held.join(content, "branch").select("branch", "host", "pages", "around", ((1 - DAMPING) * node + DAMPING * leaf).alias("importance"))
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST, support: int = SUPPORT) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars, n_declared (blocks the markup rules out), n_removed (further blocks in branches the tree removes).
 
-    Where the tree would take more than half of the text in a page's article or main element, that page keeps it.
+    Pages are parsed twice, for the tree and for their text, so that only codes are stored in between.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     scratch = Scratch(pages.sparkSession, "pages")
-    parsed = rows.mapInArrow(sliced(_parsed, 500), _SCHEMA).withColumn("key", F.monotonically_increasing_id())
-    parsed = scratch.keep(parsed, "parsed")
-    once = parsed.groupBy("host", "sum").agg(F.min("key").alias("key")).select("key")
-    branches = parsed.join(once, "key", "left_semi").select("host", F.explode("branches").alias("b")).select("host", "b.*")
-    low = importance(branches).where((F.col("importance") < least) & (F.col("pages") >= support) & ~F.col("around")).select("host", "branch")
-    held = parsed.select("key", "host", F.posexplode("chains").alias("at", "chain")).select("key", "host", "at", F.explode("chain").alias("branch"))
-    gone = held.join(low, ["host", "branch"], "left_semi").groupBy("key").agg(F.collect_set("at").alias("gone"))
-    out = parsed.join(gone, "key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    left = F.filter("blocks", lambda b, i: ~F.get("declared", i))
-    kept = F.filter("blocks", lambda b, i: ~F.get("declared", i) & ~F.array_contains("gone", i))
-    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + F.length(b))
-    out = out.withColumns({"left": left, "kept": kept}).withColumn("kept", F.when(F.col("main") & (2 * size("kept") < size("left")), F.col("left")).otherwise(F.col("kept")))
-    out = out.select("page_id", "url", F.array_join("kept", "\n").alias("text"), (F.size("blocks") - F.size("left")).alias("d"), (F.size("left") - F.size("kept")).alias("r"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.col("d").cast("long").alias("n_declared"), F.col("r").cast("long").alias("n_removed"))
+    coded = rows.select("host", "html").mapInArrow(sliced(_coded, 500), _CODES).withColumn("key", F.monotonically_increasing_id())
+    coded = scratch.keep(coded, "coded")
+    again = coded.select("host", "sum", "key").withColumn("first", F.min("key").over(Window.partitionBy("host", "sum"))).where("key > first").select("key")
+    again = scratch.keep(again, "again")
+    once = coded.join(F.broadcast(again) if small_enough(again, BROADCAST_ROWS) else again, "key", "left_anti")
+    low = importance(once).where((F.col("importance") < least) & (F.col("pages") >= support) & ~F.col("around"))
+    low = scratch.keep(low.groupBy("host").agg(F.collect_list("branch").alias("low"), F.count(F.lit(1)).alias("n")), "low")
+    total = low.agg(F.sum("n")).first()[0] or 0
+    scratch.drop("coded", "again")
+    low = low.select("host", "low")
+    both = rows.join(F.broadcast(low) if total <= BROADCAST_ROWS else low, "host", "left").select("page_id", "url", "host", "html", "low")
+    out = both.mapInArrow(sliced(_extracted, 500), _TEXT)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_declared", "n_removed")
