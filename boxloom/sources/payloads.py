@@ -53,6 +53,17 @@ def problems(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(key, F.explode(found).alias("problem"))
 
 
+def filled(digits: Column) -> Column:
+    """Filled with zeros to six places; longer numbers stay whole."""
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0"))
+
+
+def name_ids(name: Column) -> Column:
+    """The category ids in a file name's first part: its runs of six digits or more."""
+    codes = F.regexp_extract_all(F.split_part(name, F.lit("_"), F.lit(1)), F.lit(r"(\d{6,})"))
+    return F.transform(codes, lambda c: c.cast("bigint"))
+
+
 def placeholder(category_id: Column, name: Column, drug_n: Column, dl_name: Column) -> tuple[Column, Column]:
     """Id and name of a category; the stand-in (1, "drug") takes them from the image's code and name."""
     stand_in = (category_id == 1) & (F.lower(F.trim(name)) == "drug")

@@ -40,3 +40,20 @@ def test_numbered_over_spans(spark):
 
     rows = spark.createDataFrame([(v,) for v in (5, 70_000, -3, 65_536, 10**12)], "v long")
     assert {r.v: r.position for r in samples.positions(rows, "v").collect()} == {-3: 0, 5: 1, 65_536: 2, 70_000: 3, 10**12: 4}
+
+
+@pytest.fixture(scope="module")
+def long_ids(tmp_path_factory):
+    """Tables with part keys of six and seven digits, which differ in the seventh alone too."""
+    import duckdb
+
+    folder = tmp_path_factory.mktemp("long")
+    for name, key in (("lineitem", "l_partkey"), ("part", "p_partkey"), ("orders", "o_orderkey")):
+        more = "" if name == "orders" else f"replace ({key} + 999900 AS {key})"
+        duckdb.sql(f"COPY (SELECT * {more} FROM '{FOLDER}/{name}.parquet') TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["expected_ids", "parse_image_name"])
+def test_long_category_ids(spark, long_ids, name):
+    assert not differs(spark, tables(long_ids), name, registry.queries()[name], registry.oracle_sql()[name], long_ids)
