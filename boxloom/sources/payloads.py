@@ -68,7 +68,7 @@ def placeholder(category_id: Column, name: Column, drug_n: Column, dl_name: Colu
     """Id and name of a category; the stand-in (1, "drug") takes them from the image's code and name."""
     stand_in = (category_id == 1) & (F.lower(F.trim(name)) == "drug")
     real = F.regexp_replace(drug_n, "^K-", "").try_cast("bigint")
-    title = F.coalesce(F.when(F.trim(dl_name) != "", F.trim(dl_name)), F.concat(F.lit("K-"), F.lpad(real.cast("string"), 6, "0")))
+    title = F.coalesce(F.when(F.trim(dl_name) != "", F.trim(dl_name)), F.concat(F.lit("K-"), filled(real.cast("string"))))
     return F.when(stand_in, real).otherwise(category_id), F.when(stand_in, title).otherwise(name)
 
 
@@ -87,7 +87,7 @@ def parse_image_name(name: Column) -> dict[str, Column]:
 def pill_id(drug_index: Column, drug_code: Column) -> Column:
     """The index, else the code without "K-"; digits are filled to six places."""
     raw = F.coalesce(drug_index.cast("string"), F.regexp_replace(drug_code, "^K-", ""))
-    return F.when(raw.rlike(r"^\d{1,5}$"), F.lpad(raw, 6, "0")).otherwise(raw)
+    return F.when(raw.rlike(r"^\d+$"), filled(raw)).otherwise(raw)
 
 
 def parse_label_lines(df: DataFrame, line: str, strict: bool = True) -> DataFrame:

@@ -30,3 +30,12 @@ def test_names_and_ids(spark):
     assert got == [("combination", "001900-016548-019607", 70), ("single", "001900", None), ("copy_paste", None, None), (None, None, None), (None, None, None)]
     df = spark.createDataFrame([("12", None), (None, "K-3"), (None, "K-ab"), (None, None)], "i string, c string")
     assert [r[0] for r in df.select(payloads.pill_id(F.col("i"), F.col("c"))).collect()] == ["000012", "000003", "ab", None]
+
+
+def test_long_codes_stay_whole(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("1234567", "K-1234567-000012_0_2.png")], "code string, name string")
+    fixed = payloads.placeholder(F.lit(1), F.lit("Drug"), F.concat(F.lit("K-"), "code"), F.lit(" "))
+    row = df.select(payloads.pill_id(F.col("code"), F.lit(None)).alias("pill"), payloads.name_ids(F.col("name")).alias("ids"), fixed[0].alias("id"), fixed[1].alias("title")).first()
+    assert tuple(row) == ("1234567", [1234567, 12], 1234567, "K-1234567")

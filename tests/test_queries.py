@@ -54,6 +54,6 @@ def long_ids(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["expected_ids", "filename_json_mismatch", "normalize_codes", "pill_id", "parse_image_name"])
+@pytest.mark.parametrize("name", ["expected_ids", "filename_json_mismatch", "normalize_codes", "pill_id", "placeholder_category_fix", "parse_image_name"])
 def test_long_category_ids(spark, long_ids, name):
     assert not differs(spark, tables(long_ids), name, registry.queries()[name], registry.oracle_sql()[name], long_ids)
