@@ -43,6 +43,8 @@ UNIT_TOKENS = 2_000_000
 STEP = 8
 #: Ids that a worker keeps for the chunks it has met, before it starts anew.
 CACHE = 2_000_000
+#: Chunks that are encoded in one call: its results hold far more than the ids.
+CALL = 4096
 #: Bytes of text whose distinct chunks are looked up together.
 BLOCK = 4 << 20
 
@@ -92,9 +94,13 @@ class Encoder:
         new = [c for c in chunks if c not in self.place]
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            found = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
-            self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(found), "<u4")]
-            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])]
+            ids, sizes = [], []
+            for i in range(0, len(new), CALL):
+                found = [e.ids for e in self.model.encode_batch_fast(new[i : i + CALL], add_special_tokens=False)]
+                ids.append(np.fromiter(chain.from_iterable(found), "<u4"))
+                sizes += map(len, found)
+            self.ids = np.concatenate([self.ids, *ids])
+            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(sizes)]
         return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:

@@ -94,3 +94,20 @@ def test_empty_and_null_ids(spark):
     out = packing.pack(spark.createDataFrame([(None, None), (7, "a"), (7, "a")], "doc_id long, text string"), PATH).collect()
     assert sorted((r.doc_id is None, r.length) for r in out if r.doc_tokens == 1) == [(True, 1)]
     assert sum(r.length for r in out) == 5
+
+
+def test_few_chunks_are_encoded_at_once(monkeypatch):
+    """The tokenizer's results are held for CALL chunks at most, and the ids are those of the whole texts."""
+    enc = packing.Encoder(PATH)
+    model, sizes = enc.model, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            sizes.append(len(texts))
+            return model.encode_batch_fast(texts, **more)
+
+    enc.model = Counting()
+    texts = [" ".join(f"w{i}x{j}" for j in range(3000)) for i in range(4)]
+    got = [ids.tolist() for ids in enc.encode(pa.array(texts))]
+    assert got == [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    assert sum(sizes) == 12_000 and max(sizes) <= 4096
